@@ -115,7 +115,7 @@ def bronze_from_events(events: DataFrame, dup_key: bool = False) -> DataFrame:
         et.alias("event_type"),
         F.lit(1).alias("schema_version"),
         occurred.alias("occurred_at"),
-        (occurred + F.expr("INTERVAL 0.3 SECONDS")).alias("ingested_at"),
+        (occurred + F.expr("INTERVAL '0.300' SECOND")).alias("ingested_at"),
         F.concat(F.lit("s-"), uid.cast("string")).alias("session_id"),
         F.concat(F.when(uid % 5 == 0, F.lit("bot-")).otherwise(F.lit("u-")), uid.cast("string")).alias("client_id"),
         room.alias("room_slug"),
