@@ -25,124 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import open_end
-from tessera.operators.pairing import time_bucket
+from tessera.operators.pairing import pack_key, time_bucket
 
 _UNB = Window.unboundedPreceding
 
-
-def _bucket(time: str, bucket_seconds: int | None) -> Column:
-    return time_bucket(time, bucket_seconds) if bucket_seconds else F.lit(0).cast("long")
-
-
-def _null_safe(left: str, right: str, cols: Sequence[str]) -> list[Column]:
-    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
-
-
-def prefix_before_markers(
-    stream: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    tie: str,
-    values: Sequence[str],
-    marker: str,
-    bucket_seconds: int | None,
-) -> DataFrame:
-    """For rows with ``marker`` true: ``pre_<v>`` = sum of ``v`` over rows of the same keys ordered before
-    the marker by (time, tie), and ``all_<v>`` = the key's total. Marker rows must carry 0 in ``values``."""
-    keys = list(keys)
-    s = stream.withColumn("_b", _bucket(time, bucket_seconds))
-    w = Window.partitionBy(*keys, "_b").orderBy(time, tie).rowsBetween(_UNB, Window.currentRow)
-    run = s.select(*keys, "_b", time, marker, *[F.sum(v).over(w).alias(f"_run_{v}") for v in values]).filter(marker)
-    totals = s.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(_UNB, -1)
-    wall = Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys,
-        "_b",
-        *[F.coalesce(F.sum(f"_tot_{v}").over(wk), F.lit(0)).alias(f"_off_{v}") for v in values],
-        *[F.sum(f"_tot_{v}").over(wall).alias(f"all_{v}") for v in values],
-    )
-    joined = run.alias("r").join(offsets.alias("o"), _null_safe("r", "o", [*keys, "_b"]), "inner")
-    return joined.select(
-        *[F.col(f"r.{k}").alias(k) for k in keys],
-        F.col(f"r.{time}").alias(time),
-        *[(F.col(f"o._off_{v}") + F.col(f"r._run_{v}")).alias(f"pre_{v}") for v in values],
-        *[F.col(f"o.all_{v}").alias(f"all_{v}") for v in values],
-    )
-
-
-def asof_last(
-    stream: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    tie: str,
-    value: str,
-    out: str,
-    bucket_seconds: int | None,
-) -> DataFrame:
-    """Adds ``out`` = last non-null ``value`` among rows of the same keys at or before this row in
-    (time, tie) order."""
-    keys = list(keys)
-    s = stream.withColumn("_b", _bucket(time, bucket_seconds))
-    w = Window.partitionBy(*keys, "_b").orderBy(time, tie).rowsBetween(_UNB, Window.currentRow)
-    within = s.withColumn("_in", F.last(value, ignorenulls=True).over(w))
-    ordering = F.when(F.col(value).isNotNull(), F.struct(F.col(time), F.col(tie)))
-    per_bucket = s.groupBy(*keys, "_b").agg(F.max_by(value, ordering).alias("_bl"))
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(_UNB, -1)
-    carry = per_bucket.select(*keys, "_b", F.last("_bl", ignorenulls=True).over(wk).alias("_carry"))
-    joined = within.alias("x").join(carry.alias("c"), _null_safe("x", "c", [*keys, "_b"]), "left")
-    cols = [F.col(f"x.{c}") for c in stream.columns]
-    return joined.select(*cols, F.coalesce(F.col("x._in"), F.col("c._carry")).alias(out))
-
-
-def closed_memberships(
-    intervals: DataFrame,
-    points: DataFrame,
-    keys: Sequence[str],
-    start: str,
-    end: str,
-    time: str,
-    bucket_seconds: int | None,
-) -> DataFrame:
-    """(keys, start, end) of each distinct closed interval joined to every point inside it, without
-    emitting interval-point pairs that fail the range test. ``points`` carries any payload columns."""
-    keys = list(keys)
-    distinct = (
-        intervals.filter(F.col(end).isNotNull())
-        .select(*keys, F.col(start).alias("_a"), F.col(end).alias("_e"))
-        .distinct()
-    )
-    pcols = [c for c in points.columns if c not in keys]
-    # Points sort before interval starts at the same time, so the as-of sees only starts strictly earlier.
-    p_rows = points.select(
-        *keys, F.col(time).alias("_t"), F.lit(0).alias("_kind"),
-        F.lit(None).cast(f"struct<_a:timestamp,_e:timestamp>").alias("_iv"),
-        F.struct(*[F.col(c) for c in pcols]).alias("_p"),
-    )
-    i_rows = distinct.select(
-        *keys, F.col("_a").alias("_t"), F.lit(1).alias("_kind"),
-        F.struct("_a", "_e").alias("_iv"),
-        F.lit(None).cast(p_rows.schema["_p"].dataType).alias("_p"),
-    )
-    stream = p_rows.unionByName(i_rows)
-    found = asof_last(stream, keys, "_t", "_kind", "_iv", "_hit", bucket_seconds)
-    before = found.filter(
-        (F.col("_kind") == 0) & F.col("_hit").isNotNull() & (F.col("_t") <= F.col("_hit._e"))
-    ).select(*keys, F.col("_hit._a").alias(start), F.col("_hit._e").alias(end), "_p")
-
-    p, d = points.alias("p"), distinct.alias("d")
-    cond = [F.col(f"p.{k}") == F.col(f"d.{k}") for k in keys] + [F.col(f"p.{time}") == F.col("d._a")]
-    at_start = (
-        p.join(d, cond, "inner")
-        .filter(F.col(f"p.{time}") <= F.col("d._e"))
-        .select(
-            *[F.col(f"p.{k}").alias(k) for k in keys],
-            F.col("d._a").alias(start),
-            F.col("d._e").alias(end),
-            F.struct(*[F.col(f"p.{c}").alias(c) for c in pcols]).alias("_p"),
-        )
-    )
-    return before.unionByName(at_start).select(*keys, start, end, "_p.*")
+# Stream row kinds, in their order at equal times: an open interval start sees only points strictly
+# before it; a point sees only closed intervals that started strictly before it.
+_OPEN, _POINT, _CLOSED = 0, 1, 2
 
 
 def interval_stats(
@@ -161,62 +50,102 @@ def interval_stats(
 ) -> DataFrame:
     """Per interval ``id_col``: count of non-null ``count_col`` points, ``sums`` {out: point column},
     and ``distinct`` (out, point column) distinct count. Intervals or points with a null key or time match
-    nothing. Intervals with no points get 0 everywhere."""
+    nothing. Intervals with no points get 0 everywhere.
+
+    One ordered stream per (key, time bucket) carries points, open-interval starts, closed-interval starts
+    and, for the distinct count, the last point of each distinct value. A single window pass gives each
+    point its latest closed interval (as-of) and each open start its prefix sums; a per-bucket summary
+    carries both across buckets.
+    """
     keys = list(keys)
-    key_ok = [F.col(k).isNotNull() for k in keys]
-    ok_i = F.col(start).isNotNull()
-    ok_p = F.col(time).isNotNull()
-    for c in key_ok:
-        ok_i, ok_p = ok_i & c, ok_p & c
-    iv = intervals.filter(ok_i)
+    ok_i, ok_p = F.col(start).isNotNull(), F.col(time).isNotNull()
+    for k in keys:
+        ok_i, ok_p = ok_i & F.col(k).isNotNull(), ok_p & F.col(k).isNotNull()
+    iv = intervals.filter(ok_i).select(id_col, start, end, pack_key(keys).alias("_pk"))
     dcol = distinct[1] if distinct else None
-    pt_cols = [count_col, *sums.values()] + ([dcol] if dcol else [])
-    pts = points.filter(ok_p).select(*keys, time, *dict.fromkeys(pt_cols))
+    pay_cols = list(dict.fromkeys([time, count_col, *sums.values(), *([dcol] if dcol else [])]))
+    pts = points.filter(ok_p).select(pack_key(keys).alias("_pk"), F.col(time).alias("_t"),
+                                     F.struct(*[F.col(c) for c in pay_cols]).alias("_pl"))
 
-    # closed intervals: memberships, then ordinary aggregates
-    members = closed_memberships(iv, pts, keys, start, end, time, bucket_seconds)
-    aggs = [F.count(count_col).alias("_cnt")] + [F.sum(src).alias(out) for out, src in sums.items()]
-    if distinct:
-        aggs.append(F.countDistinct(dcol).alias(distinct[0]))
-    closed = members.groupBy(*keys, start, end).agg(*aggs)
-    closed_stats = (
-        iv.filter(F.col(end).isNotNull()).select(id_col, *keys, start, end)
-        .join(closed, [*keys, start, end], "inner")
-        .select(id_col, F.col("_cnt").alias("_cnt"), *sums.keys(), *([distinct[0]] if distinct else []))
-    )
-
-    # open intervals: suffix sums and last-point distinct counts
-    opened = iv.filter(F.col(end).isNull())
-    starts = opened.select(*keys, F.col(start).alias("_t")).distinct()
-    value_cols = {"_cnt": F.col(count_col).isNotNull().cast("long")}
+    values = {"_cnt": F.col(f"_pl.{count_col}").isNotNull().cast("long")}
     for out, src in sums.items():
-        value_cols[f"_s_{out}"] = F.coalesce(F.col(src).cast("long"), F.lit(0).cast("long"))
-    zero = {c: F.lit(0).cast("long") for c in value_cols}
-    p_stream = pts.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.lit(False).alias("_m"),
-                          *[e.alias(c) for c, e in value_cols.items()], F.lit(0).cast("long").alias("_last"))
-    parts = [p_stream]
+        values[f"_s_{out}"] = F.coalesce(F.col(f"_pl.{src}").cast("long"), F.lit(0).cast("long"))
+    values["_last"] = F.lit(0).cast("long")
+    zeros = {c: F.lit(0).cast("long") for c in values}
+    iv_type = f"struct<_a:{iv.schema[start].dataType.simpleString()},_e:{iv.schema[end].dataType.simpleString()}>"
+    pl_type = pts.schema["_pl"].dataType
+
+    closed_iv = iv.filter(F.col(end).isNotNull()).select("_pk", F.col(start).alias("_a"), F.col(end).alias("_e")).distinct()
+    open_starts = iv.filter(F.col(end).isNull()).select("_pk", F.col(start).alias("_t")).distinct()
+
+    def rows(df: DataFrame, kind: int, iv_col: Column, pl_col: Column, vals: dict[str, Column]) -> DataFrame:
+        return df.select("_pk", "_t", F.lit(kind).alias("_kind"), iv_col.alias("_iv"), pl_col.alias("_pl"),
+                         *[v.alias(c) for c, v in vals.items()])
+
+    no_iv, no_pl = F.lit(None).cast(iv_type), F.lit(None).cast(pl_type)
+    parts = [
+        rows(pts, _POINT, no_iv, F.col("_pl"), values),
+        rows(open_starts, _OPEN, no_iv, no_pl, zeros),
+        rows(closed_iv.withColumnRenamed("_a", "_t").withColumn("_a", F.col("_t")), _CLOSED,
+             F.struct(F.col("_a"), F.col("_e")), no_pl, zeros),
+    ]
     if distinct:
-        lasts = pts.filter(F.col(dcol).isNotNull()).groupBy(*keys, dcol).agg(F.max(time).alias("_t"))
-        parts.append(lasts.select(*keys, "_t", F.lit(1).alias("_kind"), F.lit(False).alias("_m"),
-                                  *[e.alias(c) for c, e in zero.items()], F.lit(1).cast("long").alias("_last")))
-    parts.append(starts.select(*keys, "_t", F.lit(0).alias("_kind"), F.lit(True).alias("_m"),
-                               *[e.alias(c) for c, e in zero.items()], F.lit(0).cast("long").alias("_last")))
+        lasts = pts.groupBy("_pk", F.col(f"_pl.{dcol}").alias("_d")).agg(F.max("_t").alias("_t")).filter(F.col("_d").isNotNull())
+        parts.append(rows(lasts, _POINT, no_iv, no_pl, {**zeros, "_last": F.lit(1).cast("long")}))
     stream = parts[0]
     for p in parts[1:]:
         stream = stream.unionByName(p)
-    vals = [*value_cols.keys(), "_last"]
-    pre = prefix_before_markers(stream, keys, "_t", "_kind", vals, "_m", bucket_seconds)
-    suffix = pre.select(
-        *keys, F.col("_t").alias(start),
-        (F.col("all__cnt") - F.col("pre__cnt")).alias("_cnt"),
-        *[(F.col(f"all__s_{o}") - F.col(f"pre__s_{o}")).alias(o) for o in sums],
-        *([(F.col("all__last") - F.col("pre__last")).alias(distinct[0])] if distinct else []),
+    stream = stream.withColumn("_b", time_bucket("_t", bucket_seconds))
+
+    vals = list(values)
+    w = Window.partitionBy("_pk", "_b").orderBy("_t", "_kind").rowsBetween(_UNB, Window.currentRow)
+    scanned = stream.select(
+        "_pk", "_b", "_t", "_kind", "_pl",
+        F.last("_iv", ignorenulls=True).over(w).alias("_iv_in"),
+        *[F.sum(v).over(w).alias(f"_run{v}") for v in vals],
+    ).filter((F.col("_kind") == _OPEN) | F.col("_pl").isNotNull())
+    summary = stream.groupBy("_pk", "_b").agg(
+        F.max_by("_iv", F.when(F.col("_iv").isNotNull(), F.struct("_t", "_kind"))).alias("_bl"),
+        *[F.sum(v).alias(f"_tot{v}") for v in vals],
+    )
+    before = Window.partitionBy("_pk").orderBy("_b").rowsBetween(_UNB, -1)
+    whole = Window.partitionBy("_pk")
+    carry = summary.select(
+        "_pk", "_b",
+        F.last("_bl", ignorenulls=True).over(before).alias("_carry"),
+        *[F.coalesce(F.sum(f"_tot{v}").over(before), F.lit(0)).alias(f"_off{v}") for v in vals],
+        *[F.sum(f"_tot{v}").over(whole).alias(f"_all{v}") for v in vals],
+    )
+    scanned = scanned.join(carry, ["_pk", "_b"], "inner")
+
+    # closed intervals: memberships (as-of strictly before + exact start), then ordinary aggregates
+    hit = F.coalesce(F.col("_iv_in"), F.col("_carry"))
+    asof = scanned.filter((F.col("_kind") == _POINT) & hit.isNotNull() & (F.col("_t") <= hit["_e"])).select(
+        "_pk", hit["_a"].alias("_a"), hit["_e"].alias("_e"), "_pl")
+    at_start = (
+        pts.join(closed_iv, (pts["_pk"] == closed_iv["_pk"]) & (pts["_t"] == closed_iv["_a"]), "inner")
+        .filter(pts["_t"] <= closed_iv["_e"])
+        .select(pts["_pk"], closed_iv["_a"], closed_iv["_e"], pts["_pl"])
     )
-    open_stats = opened.select(id_col, *keys, start).join(suffix, [*keys, start], "inner").drop(*keys, start)
+    members = asof.unionByName(at_start)
+    aggs = [F.count(f"_pl.{count_col}").alias("_cnt")] + [F.sum(f"_pl.{src}").cast("long").alias(o) for o, src in sums.items()]
+    if distinct:
+        aggs.append(F.countDistinct(f"_pl.{dcol}").alias(distinct[0]))
+    closed = members.groupBy("_pk", "_a", "_e").agg(*aggs).withColumnRenamed("_a", start).withColumnRenamed("_e", end)
+    outs = ["_cnt", *sums.keys(), *([distinct[0]] if distinct else [])]
+    closed_stats = iv.filter(F.col(end).isNotNull()).join(closed, ["_pk", start, end], "inner").select(id_col, *outs)
+
+    # open intervals: suffix = key total - prefix strictly before the start
+    suffix = scanned.filter(F.col("_kind") == _OPEN).select(
+        "_pk", F.col("_t").alias(start),
+        (F.col("_all_cnt") - F.col("_off_cnt") - F.col("_run_cnt")).alias("_cnt"),
+        *[(F.col(f"_all_s_{o}") - F.col(f"_off_s_{o}") - F.col(f"_run_s_{o}")).alias(o) for o in sums],
+        *([(F.col("_all_last") - F.col("_off_last") - F.col("_run_last")).alias(distinct[0])] if distinct else []),
+    )
+    open_stats = iv.filter(F.col(end).isNull()).join(suffix, ["_pk", start], "inner").select(id_col, *outs)
 
     stats = closed_stats.unionByName(open_stats)
     result = intervals.select(id_col).join(stats, id_col, "left")
-    outs = ["_cnt", *sums.keys(), *([distinct[0]] if distinct else [])]
     return result.select(id_col, *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in outs])
 
 

@@ -6,6 +6,10 @@ hot entity (one socket with a third of all events) that task is the whole job. `
 last row of each bucket borrows the first row of the entity's next non-empty bucket from a small
 per-bucket summary. The answer is the same as the plain window because the bucket is a monotone function
 of the first ordering column.
+
+The entity key is packed into one struct column ``_pk``: struct equality treats null fields as equal
+(as window partitioning does), so the summary joins back with a plain equi-join on (``_pk``, ``_b``)
+and reuses the window's hash partitioning instead of shuffling the rows again.
 """
 
 from __future__ import annotations
@@ -16,11 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_bucket(ts: Column | str, bucket_seconds: int) -> Column:
+def time_bucket(ts: Column | str, bucket_seconds: int | None) -> Column:
+    if not bucket_seconds:
+        return F.lit(0).cast("long")
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(col) / F.lit(bucket_seconds * 1_000_000)).cast("long")
 
 
+def pack_key(cols: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in cols])
+
+
 def lead_struct(
     df: DataFrame,
     partition_by: Sequence[str],
@@ -36,17 +46,12 @@ def lead_struct(
         w = Window.partitionBy(*partition_by).orderBy(*order_by)
         return df.withColumn(out, F.lead(packed).over(w))
 
-    staged = df.withColumn("_b", time_bucket(order_by[0], bucket_seconds))
-    w = Window.partitionBy(*partition_by, "_b").orderBy(*order_by)
-    within = staged.withColumn(out, F.lead(packed).over(w))
-
-    ordering = F.struct(*[F.col(c) for c in order_by])
-    heads = staged.groupBy(*partition_by, "_b").agg(F.min_by(packed, ordering).alias("_head"))
-    wb = Window.partitionBy(*partition_by).orderBy("_b")
-    heads = heads.select(*partition_by, "_b", F.lead("_head").over(wb).alias("_next_head"))
-
-    a, h = within.alias("_w"), heads.alias("_h")
-    cond = [F.col(f"_w.{c}").eqNullSafe(F.col(f"_h.{c}")) for c in [*partition_by, "_b"]]
-    joined = a.join(h, cond, "left")
-    cols = [F.col(f"_w.{c}") for c in df.columns]
-    return joined.select(*cols, F.coalesce(F.col(f"_w.{out}"), F.col("_h._next_head")).alias(out))
+    staged = df.withColumn("_pk", pack_key(partition_by)).withColumn("_b", time_bucket(order_by[0], bucket_seconds))
+    w = Window.partitionBy("_pk", "_b").orderBy(*order_by)
+    within = staged.withColumn(out, F.lead(packed).over(w)).withColumn("_rn", F.row_number().over(w))
+    # Bucket heads come from the same window pass (row 1 of each bucket): no extra shuffle of the rows.
+    heads = within.filter(F.col("_rn") == 1).select("_pk", "_b", packed.alias("_head"))
+    wb = Window.partitionBy("_pk").orderBy("_b")
+    nxt = heads.select("_pk", "_b", F.lead("_head").over(wb).alias("_next_head"))
+    joined = within.join(nxt, ["_pk", "_b"], "left")
+    return joined.select(*df.columns, F.coalesce(F.col(out), F.col("_next_head")).alias(out))

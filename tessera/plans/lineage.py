@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import gold, silver
@@ -18,13 +19,27 @@ class Model:
     sf_dir: str
     dup_key: bool = False
     bucket_seconds: int | None = silver.DEFAULT_BUCKET_SECONDS
+    # Silver stages read more than once are persisted (memory, spilling to disk; recomputed from lineage
+    # if an executor is lost) so that one Spark plan does not re-expand the same upstream tree per use.
+    persist: bool = True
     _cache: dict[str, DataFrame] = field(default_factory=dict)
 
+    PERSISTED = ("events", "moves", "session_pairs", "sessions")
+
     def _get(self, name: str, build) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = build()
+            df = build()
+            if self.persist and name in self.PERSISTED:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cache[name] = df
         return self._cache[name]
 
+    def release(self) -> None:
+        for name in self.PERSISTED:
+            if name in self._cache:
+                self._cache[name].unpersist()
+        self._cache.clear()
+
     @property
     def bronze(self) -> DataFrame:
         return self._get("bronze", lambda: bronze_events(self.spark, self.sf_dir, dup_key=self.dup_key))
@@ -37,9 +52,15 @@ class Model:
     def moves(self) -> DataFrame:
         return self._get("moves", lambda: silver.build_moves(self.events, self.bucket_seconds))
 
+    @property
+    def session_pairs(self) -> DataFrame:
+        return self._get("session_pairs", lambda: silver.pair_sessions(self.events, self.bucket_seconds))
+
     @property
     def sessions(self) -> DataFrame:
-        return self._get("sessions", lambda: silver.build_sessions(self.events, self.moves, self.bucket_seconds))
+        return self._get(
+            "sessions", lambda: silver.attach_move_stats(self.session_pairs, self.moves, self.bucket_seconds)
+        )
 
     @property
     def dim_date(self) -> DataFrame:
@@ -87,3 +108,15 @@ class Model:
             "agg_daily_activity", "agg_daily_puzzles", "agg_hourly_heatmap", "agg_difficulty",
         ]
         return {n: getattr(self, n) for n in names}
+
+
+_SHARED: dict[tuple, Model] = {}
+
+
+def shared_model(spark: SparkSession, sf_dir: str, dup_key: bool = False) -> Model:
+    """One persisted build per (application, input folder), shared by the registered queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dup_key)
+    model = _SHARED.get(key)
+    if model is None:
+        model = _SHARED[key] = Model(spark, sf_dir, dup_key=dup_key)
+    return model
