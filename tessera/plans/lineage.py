@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import gold, silver
+from tessera.session import checkpoint_dir
 from tessera.sources.adapter import bronze_events
 
 
@@ -19,24 +20,32 @@ class Model:
     sf_dir: str
     dup_key: bool = False
     bucket_seconds: int | None = silver.DEFAULT_BUCKET_SECONDS
-    # Silver stages read more than once are persisted (memory, spilling to disk; recomputed from lineage
-    # if an executor is lost) so that one Spark plan does not re-expand the same upstream tree per use.
-    persist: bool = True
+    # Silver stages read by many later plans are materialized:
+    #   "checkpoint" - reliable checkpoint in the session's checkpoint dir (the shared folder on a cluster):
+    #                  cuts the lineage, so later plans start from a leaf and analysis stays small, and a
+    #                  lost executor does not send Spark back to the raw log;
+    #   "persist"    - memory/disk cache (lineage kept);
+    #   "none"       - fully lazy (one plan per query).
+    materialize: str = "checkpoint"
     _cache: dict[str, DataFrame] = field(default_factory=dict)
 
-    PERSISTED = ("events", "moves", "session_pairs", "sessions")
+    MATERIALIZED = ("events", "moves", "session_pairs", "sessions")
 
     def _get(self, name: str, build) -> DataFrame:
         if name not in self._cache:
             df = build()
-            if self.persist and name in self.PERSISTED:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            if name in self.MATERIALIZED:
+                if self.materialize == "checkpoint":
+                    checkpoint_dir(self.spark)
+                    df = df.checkpoint(eager=True)
+                elif self.materialize == "persist":
+                    df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._cache[name] = df
         return self._cache[name]
 
     def release(self) -> None:
-        for name in self.PERSISTED:
-            if name in self._cache:
+        for name in self.MATERIALIZED:
+            if name in self._cache and self.materialize == "persist":
                 self._cache[name].unpersist()
         self._cache.clear()
 
