@@ -597,3 +597,187 @@ GROUP BY ALL""", "silver"))
 def q_friction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join failures, grab conflicts and rotations per day, room type and reason."""
     return X.friction_counts(shared_model(spark, sf_dir).events)
+
+
+# ---------------------------------------------------------------- sources / incremental load
+from tessera.plans import refresh as R  # noqa: E402
+from tessera.sources import events_source as ES  # noqa: E402
+from tessera.sources.adapter import read_table  # noqa: E402
+
+BRONZE_PLAIN = ["id", "event_id", "event_type", "schema_version", "occurred_at", "ingested_at", "session_id",
+                "client_id", "room_slug", "room_type", "puzzle_id", "is_synthetic"]
+
+
+def _split_id(spark, sf_dir) -> int:
+    """The watermark of a first load: half the largest source id (data-derived)."""
+    return int(_scalar(read_table(spark, sf_dir, "events").agg(F.max("event_id") + 1))) // 2
+
+
+O.cte("wm", ["src"], "SELECT max(id) // 2 AS w FROM src")
+O.cte("bronze_dup_lo", ["bronze_dup", "wm"], "SELECT b.* FROM bronze_dup b, wm WHERE b.id <= wm.w")
+O.cte("bronze_dup_hi", ["bronze_dup", "wm"], "SELECT b.* FROM bronze_dup b, wm WHERE b.id > wm.w - 100")
+O.cte("silver_lo", ["bronze_dup_lo"], O._silver_sql("bronze_dup_lo"))
+O.cte("silver_hi", ["bronze_dup_hi"], O._silver_sql("bronze_dup_hi"))
+
+
+@register("src_max_id", O.with_("SELECT coalesce(max(id), 0) AS max_id FROM bronze", "bronze"))
+def q_src_max_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source's high-water id."""
+    return shared_model(spark, sf_dir).bronze.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("max_id"))
+
+
+@register("src_incremental_scan", O.with_(
+    f"SELECT {_cols(BRONZE_PLAIN)} FROM bronze, wm WHERE id > wm.w AND id <= (SELECT max(id) FROM bronze)",
+    "bronze", "wm"))
+def q_src_incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded scan (watermark, max id], pushed to the Parquet reader."""
+    src = ES.ParquetEventSource(spark, sf_dir)
+    return src.read(_split_id(spark, sf_dir), src.max_id()).select(*BRONZE_PLAIN)
+
+
+@register("bronze_metadata", O.with_(
+    f"SELECT id, CAST(7 AS BIGINT) AS _run_id, CAST({O.local('ingested_at')} AS DATE) AS ingest_date FROM bronze",
+    "bronze"))
+def q_bronze_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: run id and local ingest date added on extraction (the extraction time is the clock and is
+    left out of the comparison)."""
+    src = ES.ParquetEventSource(spark, sf_dir)
+    return ES.with_bronze_metadata(src.read(0, src.max_id()), 7).select("id", "_run_id", "ingest_date")
+
+
+@register("merge_insert_only", O.with_(
+    f"SELECT {_cols(SILVER_COLS)} FROM silver_hi WHERE event_id NOT IN (SELECT event_id FROM silver_lo)",
+    "silver_hi", "silver_lo"))
+def q_merge_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second load re-reads 100 ids below the watermark (late commits, trap 11) from a
+    log with repeated ids; only event_ids not yet in silver are inserted, first copy first."""
+    from tessera.sources.adapter import bronze_from_events
+
+    w = _split_id(spark, sf_dir)
+    bronze = bronze_from_events(read_table(spark, sf_dir, "events"), dup_key=True)
+    existing = silver.to_silver_events(bronze.filter(F.col("id") <= w))
+    incoming = silver.to_silver_events(bronze.filter(F.col("id") > w - 100))
+    return ES.insert_only_merge(existing, incoming, "event_id").select(*SILVER_COLS)
+
+
+@register("ingest_skip_duplicates", O.with_("""
+SELECT (SELECT count(*) FROM bronze_dup_hi) AS offered,
+       (SELECT count(*) FROM (SELECT DISTINCT event_id FROM bronze_dup_hi)
+        WHERE event_id NOT IN (SELECT event_id FROM bronze_dup_lo)) AS inserted,
+       (SELECT count(*) FROM bronze_dup_hi) - (SELECT count(*) FROM (SELECT DISTINCT event_id FROM bronze_dup_hi)
+        WHERE event_id NOT IN (SELECT event_id FROM bronze_dup_lo)) AS skipped""", "bronze_dup_hi", "bronze_dup_lo"))
+def q_ingest_skip_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14 + X11: an insert that skips stored and repeated keys, reporting offered / inserted / skipped."""
+    from tessera.sources.adapter import bronze_from_events
+
+    w = _split_id(spark, sf_dir)
+    bronze = bronze_from_events(read_table(spark, sf_dir, "events"), dup_key=True)
+    offered = bronze.filter(F.col("id") > w - 100)
+    inserted = ES.skip_duplicates(bronze.filter(F.col("id") <= w), offered, "event_id", "id")
+    a = offered.agg(F.count(F.lit(1)).alias("offered"), F.lit(0).cast("long").alias("inserted"))
+    b = inserted.agg(F.lit(0).cast("long").alias("offered"), F.count(F.lit(1)).alias("inserted"))
+    return a.unionByName(b).agg(F.sum("offered").alias("offered"), F.sum("inserted").alias("inserted")).select(
+        "offered", "inserted", (F.col("offered") - F.col("inserted")).alias("skipped"))
+
+
+@register("purge_synthetic", O.with_(
+    f"SELECT {_cols(SILVER_COLS)} FROM silver WHERE NOT coalesce(is_synthetic, false)", "silver"))
+def q_purge_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log without synthetic history (the rebuild after a purge starts from this)."""
+    return ES.purge(shared_model(spark, sf_dir).events, F.col("is_synthetic")).select(*SILVER_COLS)
+
+
+_PK_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) FILTER (WHERE n > 1) AS duplicate_keys, "
+    f"CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS null_keys "
+    f"FROM (SELECT {k} AS k, count(*) AS n FROM {t} GROUP BY {k})"
+    for t, k in R.PRIMARY_KEYS.items())
+
+
+@register("pk_violations", O.with_(_PK_SQL, *R.PRIMARY_KEYS))
+def q_pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate and null primary keys of the published dimensions and facts."""
+    m = shared_model(spark, sf_dir)
+    return R.pk_violations({t: getattr(m, t) for t in R.PRIMARY_KEYS})
+
+
+# ---------------------------------------------------------------- scalar functions ----------
+
+@register("traffic_class", O.with_("""
+SELECT is_synthetic, is_bot, traffic_type, count(*) AS events FROM silver GROUP BY ALL""", "silver"))
+def q_traffic_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P2: flags and the synthetic > bot > human class."""
+    from tessera.functions import traffic_type
+
+    ev = shared_model(spark, sf_dir).events
+    return ev.groupBy("is_synthetic", "is_bot", traffic_type().alias("traffic_type")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@register("local_calendar", O.with_("""
+SELECT event_date, hour_local, weekday, count(*) AS events FROM silver GROUP BY ALL""", "silver"))
+def q_local_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local date, hour and ISO weekday in the configured zone."""
+    return shared_model(spark, sf_dir).events.groupBy("event_date", "hour_local", "weekday").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+@register("json_field", O.with_("""
+SELECT event_id, p_group_id AS group_id, p_hold_ms AS hold_ms, p_snapped AS snapped, p_reason AS reason,
+       p_duration_ms AS duration_ms, p_pieces AS pieces
+FROM silver""", "silver"))
+def q_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 + P27: typed payload fields (integers through double and round; absent fields are null)."""
+    from tessera.functions import payload
+
+    return shared_model(spark, sf_dir).events.select(
+        "event_id", payload("group_id", "int").alias("group_id"), payload("hold_ms", "long").alias("hold_ms"),
+        payload("snapped", "boolean").alias("snapped"), payload("reason").alias("reason"),
+        payload("duration_ms", "long").alias("duration_ms"), payload("pieces", "int").alias("pieces"))
+
+
+@register("json_array_size", O.with_("""
+SELECT event_id, p_contributors AS contributors FROM silver WHERE event_type IN ('puzzle_completed', 'puzzle_started')""",
+    "silver"))
+def q_json_array_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: element count of the contributors array (null when the field is absent)."""
+    from tessera.functions import json_array_size, payload
+
+    ev = shared_model(spark, sf_dir).events
+    return ev.filter(F.col("event_type").isin("puzzle_completed", "puzzle_started")).select(
+        "event_id", json_array_size(payload("contributors")).alias("contributors"))
+
+
+@register("date_key", O.with_(f"SELECT event_id, {O.dkey('event_date')} AS date_key FROM silver", "silver"))
+def q_date_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """yyyyMMdd integer keys."""
+    from tessera.functions import date_key
+
+    return shared_model(spark, sf_dir).events.select("event_id", date_key("event_date").alias("date_key"))
+
+
+@register("filter_predicates", O.with_("""
+SELECT outcome, count(*) AS moves FROM moves
+WHERE (outcome IN ('dropped', 'abandoned') AND hold_ms BETWEEN 1000 AND 20000 AND group_id IS NOT NULL)
+   OR (abandon_reason = 'timeout' AND hold_ms > 30000) OR (outcome != 'open' AND ended_at IS NULL)
+GROUP BY outcome""", "moves"))
+def q_filter_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isin, between, null tests, comparisons, and/or."""
+    c = F.col
+    pred = ((c("outcome").isin("dropped", "abandoned") & c("hold_ms").between(1000, 20000) & c("group_id").isNotNull())
+            | ((c("abandon_reason") == "timeout") & (c("hold_ms") > 30000))
+            | ((c("outcome") != "open") & c("ended_at").isNull()))
+    return shared_model(spark, sf_dir).moves.filter(pred).groupBy("outcome").agg(F.count(F.lit(1)).alias("moves"))
+
+
+@register("size_bucket", O.with_("""
+SELECT puzzle_id, CASE WHEN room_type = 'global' THEN 'global' WHEN pieces <= 36 THEN '24' WHEN pieces <= 72 THEN '48'
+                       WHEN pieces <= 120 THEN '96' ELSE '150' END AS size,
+       CASE WHEN room_type = 'global' THEN 0 ELSE pieces END AS sort_key
+FROM fact_puzzle WHERE pieces IS NOT NULL""", "fact_puzzle"))
+def q_size_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puzzle size bucket and its sort key (global first)."""
+    from tessera.functions import size_bucket, size_sort_key
+
+    fp = shared_model(spark, sf_dir).fact_puzzle
+    return fp.filter(F.col("pieces").isNotNull()).select("puzzle_id", size_bucket().alias("size"),
+                                                        size_sort_key().alias("sort_key"))

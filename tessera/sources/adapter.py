@@ -1,7 +1,8 @@
 """Driver table ``events`` (event_id, ts, user_id, event_type, value, props) seen as the game's event log.
 
 A pure projection: every source row becomes one bronze row, so Spark and the SQL oracle can both express it
-and the work grows with the table. ``k`` is ``$.k`` of ``props``; ``m`` is ``event_id % 10``.
+and the work grows with the table. ``k`` is ``$.k`` of ``props``; ``m`` is ``event_id % 10``; the arrival id
+is ``event_id + 1``.
 """
 
 from __future__ import annotations
@@ -110,7 +111,8 @@ def bronze_from_events(events: DataFrame, dup_key: bool = False) -> DataFrame:
     if dup_key:
         key = F.when(F.col("event_id") % 20 == 19, F.col("event_id") - 1).otherwise(F.col("event_id"))
     staged = events.select(
-        F.col("event_id").alias("id"),
+        # Arrival ids start at 1, like a bigserial: watermark 0 means "nothing loaded yet".
+        (F.col("event_id") + 1).alias("id"),
         key.cast("string").alias("event_id"),
         et.alias("event_type"),
         F.lit(1).alias("schema_version"),

@@ -22,10 +22,12 @@ class ParquetEventSource:
     visible_up_to: int | None = None
     num_partitions: int | None = None
 
+    # The adapter's arrival id is ``event_id + 1``; id bounds are turned into raw-column bounds so the
+    # predicates still reach the Parquet reader.
     def raw(self) -> DataFrame:
         df = read_table(self.spark, self.sf_dir, "events")
         if self.visible_up_to is not None:
-            df = df.filter(F.col("event_id") <= self.visible_up_to)
+            df = df.filter(F.col("event_id") <= self.visible_up_to - 1)
         return df
 
     def frame(self) -> DataFrame:
@@ -33,14 +35,14 @@ class ParquetEventSource:
 
     def max_id(self) -> int:
         """coalesce(max(id), 0) over the raw id column (answered from Parquet statistics)."""
-        return int(self.raw().agg(F.coalesce(F.max("event_id"), F.lit(0)).cast("long")).first()[0])
+        return int(self.raw().agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).cast("long")).first()[0])
 
     def read(self, after: int, up_to: int) -> DataFrame:
         """The bounded scan ``after < id <= up_to``; the predicate reaches the Parquet reader. With
         ``num_partitions`` the raw rows are spread over that many tasks before the projection, like the
         JDBC read's id ranges (useful when the input is a single file; a large log is already split by
         its files)."""
-        raw = self.raw().filter((F.col("event_id") > after) & (F.col("event_id") <= up_to))
+        raw = self.raw().filter((F.col("event_id") >= after) & (F.col("event_id") <= up_to - 1))
         if self.num_partitions:
             raw = raw.repartition(self.num_partitions)
         return bronze_from_events(raw).select(*BRONZE_COLUMNS)

@@ -33,7 +33,7 @@ def test_full_refresh_publishes_every_table(spark, full_lake):
     for n in refresh.GOLD_TABLES + refresh.AGGREGATES:
         assert lake.exists("gold", n)
         assert lake.read("gold", n).count() == out["counts"][f"gold_{n}"]
-    assert out["watermark"] == 999
+    assert out["watermark"] == 1000
     assert {c["name"] for c in out["checks"] if c["severity"] == "error" and not c["passed"]} == set()
 
 
@@ -46,10 +46,10 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     assert refresh.run(spark, src, root)["status"] == "success"
     src.visible_up_to = None
     out = refresh.run(spark, src, root)
-    assert out["status"] == "success" and out["counts"]["bronze_new_rows"] == 49
+    assert out["status"] == "success" and out["counts"]["bronze_new_rows"] == 50
     assert _snapshot(Lake(spark, root)) == _snapshot(Lake(spark, root_full))
     runs = RunLog(spark, root)
-    assert runs.last_watermark() == 999
+    assert runs.last_watermark() == 1000
     lr = last_run(runs.table()).first()
     assert lr["status"] == "success" and lr["passed"] >= 1 and lr["total"] >= lr["passed"]
 
@@ -85,7 +85,7 @@ def test_failed_run_changes_nothing_and_retry_recovers(spark, tmp_path):
     assert lake.manifest()["meta"]["watermark"] == 500
     assert _snapshot(lake) == before  # readers never see the failed run's files
     retry = refresh.run(spark, ParquetEventSource(spark, SF_SMALL), root)
-    assert retry["status"] == "success" and retry["counts"]["bronze_new_rows"] == 499
+    assert retry["status"] == "success" and retry["counts"]["bronze_new_rows"] == 500
     statuses = [r["status"] for r in RunLog(spark, root).table().orderBy("seq").collect()]
     assert statuses.count("failed") == 1
 
