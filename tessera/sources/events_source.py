@@ -67,10 +67,12 @@ class JdbcEventSource:
     def read(self, after: int, up_to: int) -> DataFrame:
         cols = ", ".join(BRONZE_COLUMNS)
         q = f"(SELECT {cols} FROM {self.table} WHERE id > {int(after)} AND id <= {int(up_to)}) src"
-        return self.spark.read.jdbc(
+        df = self.spark.read.jdbc(
             self.url, q, column="id", lowerBound=after + 1, upperBound=up_to + 1,
             numPartitions=self.num_partitions, properties={**self.properties, "fetchsize": str(self.fetch_size)},
         )
+        # Databases fold unquoted names to their own case; the selected order is fixed, so rename by position.
+        return df.toDF(*BRONZE_COLUMNS)
 
 
 def with_bronze_metadata(df: DataFrame, run_id: int, extracted_at: Column | None = None) -> DataFrame:
