@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.operators.quantile import exact_percentile
 from tessera.functions import (
     padded_hour,
     room_label,
@@ -69,18 +70,19 @@ def _both_periods(spark: SparkSession, agg: DataFrame) -> DataFrame:
 
 def kpis_sessions(spark: SparkSession, f_session: DataFrame, p: Periods, traffic: str) -> DataFrame:
     """A17 for both periods in one aggregate: players, sessions, exact median minutes, snap rate."""
-    agg = (
+    rows = (
         f_session.filter(F.col("traffic_type").isin(*C.session_types(traffic)))
         .withColumn("period", _period_label(p))
         .filter(F.col("period").isNotNull())
-        .groupBy("period")
-        .agg(
-            F.countDistinct("client_id").alias("players"),
-            F.count(F.lit(1)).alias("sessions"),
-            (F.percentile(F.col("duration_ms"), 0.5) / 60000.0).alias("median_min"),
-            (F.sum("snaps").cast("double") / F.nullif(F.sum("moves"), F.lit(0))).alias("snap_rate"),
-        )
     )
+    agg = rows.groupBy("period").agg(
+        F.countDistinct("client_id").alias("players"),
+        F.count(F.lit(1)).alias("sessions"),
+        (F.sum("snaps").cast("double") / F.nullif(F.sum("moves"), F.lit(0))).alias("snap_rate"),
+    )
+    # Exact median without a per-group value buffer (the period groups are as large as the data).
+    median = exact_percentile(rows, ["period"], "duration_ms", 0.5, "_median_ms")
+    agg = agg.join(median, "period", "left").withColumn("median_min", F.col("_median_ms") / 60000.0)
     return _both_periods(spark, agg).select(
         "period",
         F.coalesce("players", F.lit(0).cast("long")).alias("players"),
@@ -178,21 +180,21 @@ def api_heatmap(f_session: DataFrame, p: Periods, traffic: str) -> DataFrame:
 def api_difficulty(f_puzzle: DataFrame, p: Periods, traffic: str) -> DataFrame:
     """A21 + P16 + T2: funnel by size bucket with the exact median of completed durations."""
     done = F.col("is_completed")
+    rows = f_puzzle.filter(
+        F.col("date_key").between(p.key(p.frm), p.key(p.to))
+        & F.col("traffic_type").isin(*C.puzzle_types(traffic))
+        & F.col("pieces").isNotNull()
+    ).select("*", size_bucket().alias("size"), size_sort_key().alias("sort_key"))
+    agg = rows.groupBy("size").agg(
+        F.count(F.lit(1)).alias("started"),
+        F.count_if(F.col("moves") > 0).alias("played"),
+        F.count_if(done).alias("completed"),
+        F.min("sort_key").alias("sort_key"),
+    )
+    median = exact_percentile(rows.filter(done), ["size"], "duration_ms", 0.5, "_median_ms")
     return (
-        f_puzzle.filter(
-            F.col("date_key").between(p.key(p.frm), p.key(p.to))
-            & F.col("traffic_type").isin(*C.puzzle_types(traffic))
-            & F.col("pieces").isNotNull()
-        )
-        .select("*", size_bucket().alias("size"), size_sort_key().alias("sort_key"))
-        .groupBy("size")
-        .agg(
-            F.count(F.lit(1)).alias("started"),
-            F.count_if(F.col("moves") > 0).alias("played"),
-            F.count_if(done).alias("completed"),
-            (F.percentile(F.when(done, F.col("duration_ms")), 0.5) / 60000.0).alias("median_min"),
-            F.min("sort_key").alias("sort_key"),
-        )
+        agg.join(median, "size", "left")
+        .select("size", "started", "played", "completed", (F.col("_median_ms") / 60000.0).alias("median_min"), "sort_key")
         .orderBy("sort_key")
     )
 

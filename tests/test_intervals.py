@@ -67,3 +67,18 @@ def test_running_sum_equals_window(spark, rows):
     w = Window.partitionBy("room_slug").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("v").over(w).cast("long"))
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.tuples(st.sampled_from(["a", "b", "c"]),
+                                 st.one_of(st.none(), st.integers(-5000, 10**9))), min_size=1, max_size=80),
+       p=st.sampled_from([0.0, 0.25, 0.5, 0.9, 1.0]))
+def test_exact_percentile_equals_percentile(spark, values, p):
+    from tessera.operators.quantile import exact_percentile
+
+    df = spark.createDataFrame(values, "g string, v long")
+    got = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", p, "q").collect()}
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect() if r["q"] is not None}
+    assert set(got) == set(want)
+    for g in want:
+        assert abs(got[g] - want[g]) <= 1e-9 * max(1.0, abs(want[g])), (g, got[g], want[g])
