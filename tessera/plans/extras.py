@@ -36,7 +36,7 @@ def hold_timeouts(moves: DataFrame, events: DataFrame, timeout_ms: int = C.HOLD_
     the abandons recorded with reason `timeout`."""
     log_end = events.agg(F.max("occurred_at").alias("_end")).withColumn("_k", F.lit(1))
     stale = F.col("grabbed_at") + F.expr(f"INTERVAL {timeout_ms // 1000} SECONDS") <= F.col("_end")
-    flagged = moves.withColumn("_k", F.lit(1)).join(log_end, "_k").select(
+    flagged = moves.withColumn("_k", F.lit(1)).join(F.broadcast(log_end), "_k").select(  # one row
         "event_date", "traffic_type",
         ((F.col("outcome") == "open") & stale).cast("long").alias("open_candidates"),
         ((F.col("outcome") == "abandoned") & (F.col("abandon_reason") == "timeout")).cast("long").alias("recorded_timeouts"),

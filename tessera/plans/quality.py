@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import constants as C
 from tessera.functions import ratio_half_up
 from tessera.operators.intervals import interval_stats
+from tessera.operators.pairing import lead_struct
 
 # --- fixed values: check names, severities and thresholds ---------------------------------
 UNIQUE_EVENT_ID = "silver_events_unique_event_id"
@@ -126,7 +127,7 @@ def failed_errors(checks: list[dict]) -> list[str]:
 
 # ---- invariants of generated histories (X9, X10) --------------------------------------------
 
-def session_order_violations(events: DataFrame) -> DataFrame:
+def session_order_violations(events: DataFrame, bucket_seconds: int | None = 86400) -> DataFrame:
     """X9 per socket and room: presence must start with a join, have at most one leave and end with it;
     a socket's grabs never overlap (a grab right after an open grab is a violation)."""
     presence = events.filter(F.col("event_type").isin(*C.PRESENCE_EVENTS) & F.col("session_id").isNotNull())
@@ -143,10 +144,13 @@ def session_order_violations(events: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("overlapping_grabs"),
     )
     mv = events.filter(F.col("event_type").isin(*C.MOVE_EVENTS) & F.col("session_id").isNotNull())
-    w = Window.partitionBy("session_id").orderBy(*order)
-    grabs = mv.withColumn("_prev", F.lag("event_type").over(w)).select(
+    # A grab whose next move event is another grab: bucketed pairing, so a hot socket is not one task.
+    nxt = lead_struct(mv.select("session_id", "event_type", *order), ["session_id"], order, ["event_type"],
+                      bucket_seconds=bucket_seconds)
+    grabs = nxt.select(
         *[F.lit(0).cast("long").alias(c) for c in ("join_not_first", "many_leaves", "leave_not_last")],
-        ((F.col("event_type") == C.PIECE_GRABBED) & (F.col("_prev") == C.PIECE_GRABBED)).cast("long").alias("overlapping_grabs"),
+        ((F.col("event_type") == C.PIECE_GRABBED) & (F.col("next.event_type") == C.PIECE_GRABBED))
+        .cast("long").alias("overlapping_grabs"),
     )
     return presence_bad.unionByName(grabs).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)

@@ -310,7 +310,7 @@ def chart_heatmap(v_heat: DataFrame, traffic=None) -> DataFrame:
     # The max is one row; joining on a constant key keeps the plan an equi-join.
     return (
         d.withColumn("_k", F.lit(1))
-        .join(top.withColumn("_k", F.lit(1)), "_k")
+        .join(F.broadcast(top.withColumn("_k", F.lit(1))), "_k")  # one row: a proven broadcast
         .select("day", "hour", "sessions",
                 F.when(F.col("_max") > 0, F.col("sessions") / F.col("_max")).alias("intensity"))
         .orderBy(F.col("hour").asc(), F.col("day").desc())
@@ -343,6 +343,6 @@ def heatmap_dense(heat: DataFrame, steps: int = C.HEATMAP_STEPS) -> DataFrame:
     step = F.least(F.expr(f"(sessions * {steps}) div _max"), F.lit(steps - 1))
     return (
         cells.withColumn("_k", F.lit(1))
-        .join(top, "_k")
+        .join(F.broadcast(top), "_k")  # one row
         .select("weekday", "hour", "sessions", F.when((v > 0) & (mx > 0), step).alias("step"))
     )
