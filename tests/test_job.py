@@ -15,8 +15,15 @@ from tests.conftest import SF_SMALL
 GOLD = ["fact_session", "fact_move", "fact_puzzle", "agg_daily_activity", "dim_player"]
 
 
-def _snapshot(lake, names=GOLD):
-    return {n: sorted(map(tuple, lake.read("gold", n).collect())) for n in names}
+SILVER = ["moves", "session_pairs", "sessions"]
+
+
+def _snapshot(lake, names=GOLD, silver=()):
+    out = {n: sorted(map(tuple, lake.read("gold", n).collect())) for n in names}
+    for n in silver:
+        df = lake.read("silver", n)
+        out[f"silver_{n}"] = sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +54,9 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     src.visible_up_to = None
     out = refresh.run(spark, src, root)
     assert out["status"] == "success" and out["counts"]["bronze_new_rows"] == 50
-    assert _snapshot(Lake(spark, root)) == _snapshot(Lake(spark, root_full))
+    # Derived silver is rebuilt only for the sockets with new events; the result equals a full rebuild.
+    assert 0 < out["counts"]["touched_sockets"] < out["counts"]["silver_sessions"]
+    assert _snapshot(Lake(spark, root), silver=SILVER) == _snapshot(Lake(spark, root_full), silver=SILVER)
     runs = RunLog(spark, root)
     assert runs.last_watermark() == 1000
     lr = last_run(runs.table()).first()
