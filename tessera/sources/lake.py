@@ -106,6 +106,11 @@ class Lake:
         segs = self._pending.get(f"{layer}/{name}") or self.segments(layer, name)
         return self.read_paths(layer, name, segs) if segs else None
 
+    def pending_segment(self, layer: str, name: str) -> DataFrame | None:
+        """The segment written last in this run (e.g. the rows one append added)."""
+        segs = self._pending.get(f"{layer}/{name}")
+        return self.read_paths(layer, name, segs[-1:]) if segs else None
+
     # ---- writes (invisible until commit) ----
     def _new_segment(self, layer: str, name: str, tag: str) -> str:
         return f"{self.root}/{layer}/{name}/{SEGMENT}={tag}-{uuid.uuid4().hex[:8]}"

@@ -2,11 +2,12 @@
 then retry, atomic visibility, run log."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import refresh
+from tessera.plans import quality, refresh
 from tessera.plans.runs import RunLog, last_run
 from tessera.sources.events_source import ParquetEventSource, insert_only_merge, purge, skip_duplicates
 from tessera.sources.lake import Lake
@@ -57,6 +58,10 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     # Derived silver is rebuilt only for the sockets with new events; the result equals a full rebuild.
     assert 0 < out["counts"]["touched_sockets"] < out["counts"]["silver_sessions"]
     assert _snapshot(Lake(spark, root), silver=SILVER) == _snapshot(Lake(spark, root_full), silver=SILVER)
+    # Q1-Q4 from the new rows alone give the whole-table values of the full refresh.
+    event_checks = {quality.UNIQUE_EVENT_ID, quality.REQUIRED_FIELDS, quality.NOT_IN_FUTURE, quality.RECONCILE}
+    pick = lambda cs: sorted((c["name"], c["passed"], c["value"]) for c in cs if c["name"] in event_checks)
+    assert len(pick(out["checks"])) == 4 and pick(out["checks"]) == pick(full_lake[1]["checks"])
     runs = RunLog(spark, root)
     assert runs.last_watermark() == 1000
     lr = last_run(runs.table()).first()
@@ -135,3 +140,21 @@ def test_run_log_marks_abandoned_runs(spark, tmp_path):
     assert state[r1]["status"] == "failed" and state[r1]["error"] == "abandoned"
     assert state[r2]["status"] == "success" and json.loads(state[r2]["row_counts"]) == {"x": 1}
     assert runs.last_watermark() == 10
+
+
+def test_incremental_event_checks_equal_whole_table_checks(spark):
+    """Collisions the merge would never produce (an inserted id already committed, a repeated new id, a
+    new bronze id seen before) are counted as the whole-table checks count them."""
+    schema = "event_id string, event_type string, occurred_at timestamp"
+    ts = datetime(2026, 9, 10, 18, 0)
+    old_bronze = spark.createDataFrame([("a", "x", ts), ("b", "x", ts), ("b", "x", ts)], schema)
+    old_silver = spark.createDataFrame([("a", "x", ts), ("b", "x", ts)], schema)
+    new_bronze = spark.createDataFrame([("b", "x", ts), ("c", "x", ts), ("c", "x", ts), ("d", None, ts)], schema)
+    inserted = spark.createDataFrame([("b", "x", ts), ("c", "x", ts), ("c", "x", ts), ("d", None, ts)], schema)
+    now = F.lit("2026-09-11 00:00:00").cast("timestamp")
+    whole = quality.event_checks(old_bronze.unionByName(new_bronze), old_silver.unionByName(inserted), now)
+    for broadcast_ids in (True, False):
+        incr = quality.event_checks_incremental(old_bronze, new_bronze, old_silver, inserted, now=now,
+                                                broadcast_ids=broadcast_ids)
+        assert sorted(incr.collect()) == sorted(whole.collect())
+    assert {r["name"]: r["value"] for r in whole.collect()}[quality.UNIQUE_EVENT_ID] == 2
