@@ -75,6 +75,9 @@ def main() -> None:
         "status": "ok" if ok else f"failed: {full.get('error') or incr.get('error')}",
         "stage_seconds_full": full["counts"].get("stage_seconds"),
         "stage_seconds_incremental": incr["counts"].get("stage_seconds"),
+        "phase_seconds_full": full["counts"].get("phase_seconds"),
+        "phase_seconds_incremental": incr["counts"].get("phase_seconds"),
+        "touched_sockets_incremental": incr["counts"].get("touched_sockets"),
     }
     print(json.dumps(out))
     spark.stop()
