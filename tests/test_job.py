@@ -59,9 +59,11 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     assert 0 < out["counts"]["touched_sockets"] < out["counts"]["silver_sessions"]
     assert _snapshot(Lake(spark, root), silver=SILVER) == _snapshot(Lake(spark, root_full), silver=SILVER)
     # Q1-Q4 from the new rows alone give the whole-table values of the full refresh.
+    # So do the primary-key checks of the socket-keyed facts from the touched sockets' rows.
     event_checks = {quality.UNIQUE_EVENT_ID, quality.REQUIRED_FIELDS, quality.NOT_IN_FUTURE, quality.RECONCILE}
+    event_checks |= {f"pk_{n}" for n in refresh.PRIMARY_KEYS}
     pick = lambda cs: sorted((c["name"], c["passed"], c["value"]) for c in cs if c["name"] in event_checks)
-    assert len(pick(out["checks"])) == 4 and pick(out["checks"]) == pick(full_lake[1]["checks"])
+    assert len(pick(out["checks"])) == 10 and pick(out["checks"]) == pick(full_lake[1]["checks"])
     runs = RunLog(spark, root)
     assert runs.last_watermark() == 1000
     lr = last_run(runs.table()).first()
@@ -158,3 +160,15 @@ def test_incremental_event_checks_equal_whole_table_checks(spark):
                                                 broadcast_ids=broadcast_ids)
         assert sorted(incr.collect()) == sorted(whole.collect())
     assert {r["name"]: r["value"] for r in whole.collect()}[quality.UNIQUE_EVENT_ID] == 2
+
+
+def test_touched_pk_check_equals_whole_table_check(spark):
+    """Repeated, colliding and null keys among the touched sockets' rows count as the whole-table check
+    counts them."""
+    rows = [("s1", "a"), ("s2", "b"), ("s3", "b"), ("s3", "c"), ("s4", "c"), ("s4", None)]
+    table = spark.createDataFrame(rows, "session_id string, move_id string")
+    touched = spark.createDataFrame([("s3",), ("s4",)], "session_id string")
+    whole = refresh.pk_violations({"fact_move": table}).collect()
+    for broadcast_keys in (True, False):
+        assert refresh.pk_violations_touched(table, "fact_move", touched, broadcast_keys).collect() == whole
+    assert (whole[0]["duplicate_keys"], whole[0]["null_keys"]) == (2, 1)
