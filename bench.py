@@ -78,6 +78,8 @@ def main() -> None:
         "phase_seconds_full": full["counts"].get("phase_seconds"),
         "phase_seconds_incremental": incr["counts"].get("phase_seconds"),
         "touched_sockets_incremental": incr["counts"].get("touched_sockets"),
+        "rebuilt_moves_incremental": incr["counts"].get("rebuilt_fact_move"),
+        "rebuilt_sessions_incremental": incr["counts"].get("rebuilt_fact_session"),
     }
     print(json.dumps(out))
     spark.stop()

@@ -57,6 +57,8 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     assert out["status"] == "success" and out["counts"]["bronze_new_rows"] == 50
     # Derived silver is rebuilt only for the sockets with new events; the result equals a full rebuild.
     assert 0 < out["counts"]["touched_sockets"] <= out["counts"]["bronze_new_rows"]
+    assert 0 < out["counts"]["rebuilt_fact_move"] < out["counts"]["silver_moves"]
+    assert 0 < out["counts"]["rebuilt_fact_session"] < out["counts"]["silver_sessions"]
     assert _snapshot(Lake(spark, root), silver=SILVER) == _snapshot(Lake(spark, root_full), silver=SILVER)
     # Q1-Q4 from the new rows alone give the whole-table values of the full refresh.
     # So do the primary-key checks of the socket-keyed facts from the touched sockets' rows.
