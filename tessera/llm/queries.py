@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontamination, html_text, line_quality, sharding, token_counts
+from tessera.llm import bpe, common, decontamination, html_text, line_quality, quality_qda, sharding, token_counts, toxicity
 from tessera.registry import register
 
 
@@ -25,6 +25,16 @@ def q_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@register("op3_toxicity")
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@register("op5_quality_qda")
+def q_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 @register("op6_html_text")
 def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
