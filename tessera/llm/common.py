@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+_SHIPPED: set[str] = set()
 
 #: Bytes of words split at ASCII white space: everything but \x20 and \x09-\x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -120,6 +123,22 @@ def map_rows(df: DataFrame, columns: list[str], schema: StructType | str, fn: Ca
     return df.select(*columns).mapInArrow(fn, schema)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each session, unless their Python path holds it already
+    (PYTHONPATH or the working folder; on a cluster ``--py-files`` does the same)."""
+    package = Path(__file__).resolve().parents[1]
+    root, context = str(package.parent), spark.sparkContext
+    known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if root in known or context.applicationId in _SHIPPED:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts: ``spark.checkpoint.dir``. Only a local session without the setting
     (tests) gets a folder of its own; a cluster without it is an error."""
@@ -151,7 +170,3 @@ def free_name(taken: list[str], name: str) -> str:
     while name.lower() in lower:
         name = f"_{name}"
     return name
-
-
-def string_column(values) -> pa.Array:
-    return pa.array(values, pa.string())

@@ -16,7 +16,6 @@ counts as an item named by the empty string; an empty table on either side gives
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -118,7 +117,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     taken = [*keep, text_col]
     words, hit, seen = (C.free_name(taken, n) for n in ("n_words", "hits", "items"))
     state = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`"))
-    blocks = list_or_iter(_blocks(benchmark, item_col, item_text_col, block_bytes))
+    blocks = _with_last(_blocks(benchmark, item_col, item_text_col, block_bytes))
     for k, (items, last) in enumerate(blocks):
         shared = spark.sparkContext.broadcast(items)
         carry = keep + ([text_col] if keep_text or not last else [])
@@ -150,7 +149,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     return state.withColumnsRenamed({words: "n_words", hit: "hits", seen: "items"}) if (words, hit, seen) == ("n_words", "hits", "items") else state
 
 
-def list_or_iter(blocks):
+def _with_last(blocks):
     """(block, is it the last) without holding more than two blocks."""
     before = next(blocks)
     for block in blocks:
@@ -214,6 +213,3 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     cleaned = found.select("row", without("scan_text", "hits").alias("scan_text"))
     return cleaned.select(*[F.col("scan_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in order])
 
-
-def sha_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -192,7 +192,7 @@ def extract(pages: DataFrame, id_cols: list[str], html_col: str = "html", out_co
     def run(batches):
         for batch in batches:
             texts = [main_text(p.as_py()) for p in batch.column(html_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in id_cols] + [C.string_column(texts)], names=[*id_cols, name])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in id_cols] + [pa.array(texts, pa.string())], names=[*id_cols, name])
 
     schema = ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{name}` string"])
     return C.map_rows(pages, list(dict.fromkeys([*id_cols, html_col])), schema, run)

@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontamination, html_text, line_quality, quality_qda, sharding, token_counts, toxicity
-from tessera.registry import register
+from tessera.llm import bpe, common, decontamination, html_text, line_quality, pii, quality_qda, sharding, token_counts, toxicity
+from tessera.registry import register as _register
+
+
+def register(name: str, oracle: str | None = None):
+    """Registers a query that makes sure that the executors have this package."""
+
+    def deco(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            common.ship(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        return _register(name, oracle)(run)
+
+    return deco
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +44,11 @@ def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+@register("op4_pii")
+def q_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(common.table(spark, sf_dir, "documents"))
+
+
 @register("op5_quality_qda")
 def q_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
