@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontamination, html_text, line_quality, pii, quality_qda, sharding, token_counts, toxicity
+from tessera.llm import bpe, common, decontamination, html_text, jaccard_join, line_quality, pii, quality_qda, sharding, token_counts, toxicity
 from tessera.registry import register as _register
 
 
@@ -74,3 +74,8 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_token_counts")
 def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+
+
+@register("op10_ngram_jaccard")
+def q_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(common.table(spark, sf_dir, "documents"))
