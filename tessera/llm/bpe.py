@@ -1,8 +1,8 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 A rolling hash over the UTF-8 bytes cuts every text at places that depend on nearby content alone, so equal passages
-of different documents fall into equal chunks. Each distinct chunk of the corpus is encoded once; its ids go back to
-every occurrence, and the joins between neighbouring chunks are repaired.
+of different documents fall into equal chunks. Documents that share content are brought together; there each chunk is
+encoded once, its ids serve every occurrence, and the joins between neighbouring chunks are repaired.
 
 Repair. In the tokenizer's pattern only the first character of a non-white-space run may be white space, so every
 place between a non-white-space and a white-space character starts a new pre-token, in a chunk as in the whole text, and
@@ -15,9 +15,9 @@ needs nothing but ids.
 Special tokens are matched as the tokenizers library matches them; no chunk is cut inside one of their strings' reach,
 because the strings hold no white space and thus no anchor.
 
-Data flow: (row, position, chunk hash) and (chunk hash, compressed text) are shuffled by the 128-bit chunk hash; ids
-travel back to the rows as compressed 16-bit numbers. A chunk that a third of all rows holds is one dictionary row;
-its occurrences are a skewed join side that Spark may split.
+Data flow: the texts are dealt out once, by the least chunk hash of each, and encoded where they land; ids never travel.
+A chunk whose documents land in several partitions is encoded once in each. (One dictionary for the whole corpus means
+that every chunk's text and ids are shuffled too, about three times the texts, to save the few encodings that are left.)
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each for
 itself; a text of one chunk needs no repair.
@@ -40,6 +40,8 @@ from tessera.llm import common as C
 #: A power of two.
 WINDOW = 16
 AVERAGE_BYTES = 1024
+#: Ids that a task remembers.
+MEMORY_BYTES = 64 << 20
 _WHITE = frozenset(
     [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
@@ -213,109 +215,92 @@ def _last_byte_anchor(raw: bytes, whole: bool) -> int | None:
     return None if k is None else skip + len(text[:k].encode())
 
 
-def _chunks(batches, text_col: str, average: int):
-    for batch in batches:
-        data, offsets = C.text_buffers(batch.column(text_col))
-        for row in range(len(offsets) - 1):
-            part = data[offsets[row] : offsets[row + 1]]
-            raw = part.tobytes()
-            begin, pieces = 0, []
-            for end in chunk_cuts(part, average).tolist():
-                pieces.append(raw[begin:end])
-                begin = end
-            yield batch, row, pieces
-
-
 def _hash(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _occurrences(docs: DataFrame, row_col: str, text_col: str, average: int) -> DataFrame:
-    def run(batches):
-        rows, at, keys = [], [], []
-        for batch, row, pieces in _chunks(batches, text_col, average):
-            ident = batch.column(row_col)[row].as_py()
-            for k, piece in enumerate(pieces):
-                rows.append(ident)
-                at.append(k)
-                keys.append(_hash(piece))
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["row", "at", "chunk"])
-                rows, at, keys = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["row", "at", "chunk"])
+def _pieces(data: np.ndarray, average: int) -> list[bytes]:
+    raw, begin, out = data.tobytes(), 0, []
+    for end in chunk_cuts(data, average).tolist():
+        out.append(raw[begin:end])
+        begin = end
+    return out
 
-    return docs.select(row_col, text_col).mapInArrow(run, "row bigint, at int, chunk binary")
 
+class Encoder:
+    """Encodes whole texts chunk by chunk and remembers the ids of chunks, up to ``MEMORY_BYTES``; a full memory is
+    emptied, which costs a repeated encoding and nothing else."""
 
-#: Hashes that a task remembers as already sent (a full memory only sends a chunk again).
-SEEN_ENTRIES = 500_000
+    def __init__(self, tok: Tokenizer, average: int) -> None:
+        self.tok, self.average = tok, average
+        self.known: dict[bytes, np.ndarray] = {}
+        self.held = 0
 
+    def _chunk(self, piece: bytes) -> np.ndarray:
+        key = _hash(piece)
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.tok.encode(piece.decode())
+            self.held += ids.nbytes + 200
+            if self.held > MEMORY_BYTES:
+                self.known.clear()
+                self.held = ids.nbytes + 200
+            self.known[key] = ids
+        return ids
 
-def _texts(docs: DataFrame, text_col: str, average: int) -> DataFrame:
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
-        seen: set[bytes] = set()
-        keys, packed = [], []
-        for _, _, pieces in _chunks(batches, text_col, average):
-            for piece in pieces:
-                key = _hash(piece)
-                if key in seen:
-                    continue
-                if len(seen) >= SEEN_ENTRIES:
-                    seen.clear()
-                seen.add(key)
-                keys.append(key)
-                packed.append(pack(piece))
-            if len(keys) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["chunk", "packed"])
-                keys, packed = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["chunk", "packed"])
-
-    return docs.select(text_col).mapInArrow(run, "chunk binary, packed binary")
-
-
-def encode(docs: DataFrame, tokenizer_file: str, id_cols: list[str], text_col: str = "text", average: int = AVERAGE_BYTES, with_ids: bool = True) -> DataFrame:
-    """``id_cols`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``with_ids``, ``ids`` of every row's
-    whole text. Rows are told apart by their place in the scan, not by ``id_cols``, which may repeat or be null."""
-    taken = [*id_cols, text_col]
-    row_col = C.free_name(taken, "row_number")
-    numbered = docs.select(*dict.fromkeys(taken)).withColumn(row_col, F.monotonically_increasing_id())
-    small = numbered.select(row_col, F.struct(*[F.col(f"`{c}`") for c in id_cols]).alias("key"))
-
-    @F.pandas_udf("binary")
-    def encoded(texts: pd.Series) -> pd.Series:
-        import zstandard
+    def encode(self, data: np.ndarray) -> np.ndarray:
+        return join_chunks(self.tok, [self._chunk(p) for p in _pieces(data, self.average)])
 
-        tok = tokenizer(tokenizer_file)
-        unpack = zstandard.ZstdDecompressor().decompress
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        wide = "<u2" if len(tok.bytes_of) <= 1 << 16 else "<u4"
-        return pd.Series([pack(tok.encode(unpack(t).decode()).astype(wide).tobytes()) for t in texts], dtype=object)
 
-    ids_type = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: array<int>>" if with_ids else ">")
+def routed(docs: DataFrame, text_col: str, average: int) -> DataFrame:
+    """``docs`` dealt out by the least chunk hash of each text, so that documents that share content meet: exact copies
+    always, near copies with the chance of their chunk sets' Jaccard similarity. A rebalance, not a repartition: Spark
+    splits a partition that one passage fills, and joins small ones."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    route = C.free_name(docs.columns, "route")
 
-    @F.pandas_udf(ids_type)
-    def joined(parts: pd.Series) -> pd.DataFrame:
-        import zstandard
+    def run(batches):
+        for batch in batches:
+            data, offsets = C.text_buffers(batch.column(text_col))
+            keys = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                least = min((_hash(p)[:8] for p in _pieces(data[a:b], average)), default=bytes(8))
+                keys.append(int.from_bytes(least, "big", signed=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, route])
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in types.items()] + [f"`{route}` bigint"])
+    return docs.mapInArrow(run, schema).hint("rebalance", route).drop(route)
+
+
+def encode(docs: DataFrame, tokenizer_file: str, id_cols: list[str], text_col: str = "text", average: int = AVERAGE_BYTES, with_ids: bool = True,
+           route: bool = True) -> DataFrame:
+    """``id_cols`` with ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit numbers), ``decoded_sha256``
+    (text of the ids as UTF-8) and, with ``with_ids``, ``ids`` of every row's whole text; underscores go before a name
+    that ``id_cols`` has already."""
+    names = [C.free_name(id_cols, n) for n in ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*id_cols, text_col])])
 
+    def run(batches):
         tok = tokenizer(tokenizer_file)
-        unpack = zstandard.ZstdDecompressor().decompress
-        wide = "<u2" if len(tok.bytes_of) <= 1 << 16 else "<u4"
-        out = []
-        for row in parts:
-            chunks = [] if row is None else [np.frombuffer(unpack(p["ids"]), wide).astype(np.uint32) for p in sorted(row, key=lambda p: p["at"])]
-            ids = join_chunks(tok, chunks)
-            out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids)).hexdigest()) + ((ids.astype(np.int32),) if with_ids else ()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    spots = _occurrences(numbered, row_col, text_col, average)
-    known = _texts(docs, text_col, average).groupBy("chunk").agg(F.first("packed").alias("packed")).select("chunk", encoded("packed").alias("ids"))
-    parts = spots.join(known, "chunk").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("parts"))
-    whole = small.join(parts, small[row_col] == parts["row"], "left").select("key", joined("parts").alias("out"))
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    return whole.select(*[F.col("key")[c].alias(c) for c in id_cols], *[F.col("out")[c].alias(c) for c in names])
+        encoder = Encoder(tok, average)
+        for batch in batches:
+            data, offsets = C.text_buffers(batch.column(text_col))
+            for first in range(0, len(offsets) - 1, 512):
+                some = offsets[first : first + 513]
+                found = [encoder.encode(data[a:b]) for a, b in zip(some[:-1], some[1:])]
+                cols = [batch.column(c).slice(first, len(found)) for c in id_cols]
+                cols += [
+                    pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]),
+                    pa.array([hashlib.sha256(tok.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in found]),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(x) for x in found)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, *names])
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{n}` {t}" for n, t in zip(names, ["bigint", "string", "string", "array<int>"])])
+    return (routed(narrow, text_col, average) if route else narrow).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, tokenizer_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
