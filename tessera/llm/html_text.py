@@ -3,7 +3,8 @@
 The markup is stripped into lines, one for each block of the page. Every line gets a length: the characters of its text
 outside links; lines of page furniture (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments)
 have length 0, and so have lines outside the article where the page marks one. Lengths are summed over sliding windows of
-``WINDOW`` lines. A window sum over ``SURGE`` that starts at a line of some length is a surge point; the window sum 0
+``WINDOW`` lines. A window sum of ``SURGE`` or more (or the page's largest, if that is less) that starts at a line of
+some length is a surge point; the window sum 0
 after it is a dive point. The lines of some length between the two are the text. In a marked article every line counts
 ``SURGE`` more, so that short articles surge too.
 
@@ -173,9 +174,10 @@ def main_text(page: str | None) -> str:
     lengths = [(size + SURGE * (level > 0)) if size and lv == level else 0 for _, size, lv in lines]
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
+    surge = min(SURGE, max(sums, default=0))
     kept, i = [], 0
     while i < n:
-        if lengths[i] and sums[i] > SURGE:  # surge
+        if lengths[i] and sums[i] >= surge:  # surge
             while i < n and sums[i]:  # up to the dive
                 if lengths[i]:
                     kept.append(lines[i][0])

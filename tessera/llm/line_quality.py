@@ -165,9 +165,13 @@ _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``id_cols`` with the counts, ``base_failed`` and ``kept`` of every row; with ``with_text`` also
-    ``clean_text``, the text without its failing lines. A map over the scan, without a shuffle."""
+    ``clean_text``, the text without its failing lines; underscores go before a name that ``id_cols`` has already. A map
+    over the scan, without a shuffle."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"{c} bigint" for c in _LONGS] + ["base_failed boolean", "kept boolean"] + ["clean_text string"] * with_text)
+    measured = [*_LONGS, "base_failed", "kept"]
+    names = [C.free_name(id_cols, n) for n in measured + ["clean_text"] * with_text]
+    kinds = ["bigint"] * len(_LONGS) + ["boolean", "boolean", "string"]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{n}` {t}" for n, t in zip(names, kinds)])
 
     def run(batches):
         for batch in batches:
@@ -178,15 +182,14 @@ def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", with_text
                 parts.append(got)
                 if with_text:
                     texts += _without(piece, offs, got["_failed"])
-            names = [*_LONGS, "base_failed", "kept"]
             cols = [batch.column(c) for c in id_cols]
-            for n in names:
+            for n in measured:
                 values = np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64)
                 cols.append(pa.array(values, pa.int64() if n in _LONGS else pa.bool_()))
             if with_text:
                 nulls = batch.column(text_col).is_null().to_pylist()
                 cols.append(pa.array([None if z else t for z, t in zip(nulls, texts)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=id_cols + names + ["clean_text"] * with_text)
+            yield pa.RecordBatch.from_arrays(cols, names=id_cols + names)
 
     return C.map_rows(docs, list(dict.fromkeys([*id_cols, text_col])), schema, run)
 

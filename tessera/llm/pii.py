@@ -200,31 +200,29 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
+
+
 def find(docs: DataFrame, id_cols: list[str], text_col: str = "text", **limits) -> DataFrame:
-    """``id_cols`` with ``base`` (pattern spans) and ``spans`` (all spans). Rows without a pattern span meet no term, and
-    take part in the join under a key of their own, so that they do not pile up on one."""
-    narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*id_cols, text_col])])
-    based = with_spans(narrow, text_col, "base").select(
-        *[F.col(f"`{c}`") for c in id_cols], "base", F.when(F.size("base") > 0, _text_key(F.col(f"`{text_col}`"))).otherwise(F.concat(F.lit("-"), F.xxhash64(*[F.col(f"`{c}`") for c in id_cols]))).alias("text_key"),
-    )
-    more = term_spans(docs, text_col, **limits)
-    # a term never overlaps a pattern span of its own line, but may one of a longer match: base spans stay
-    return based.join(more, "text_key", "left").select(
-        *[F.col(f"`{c}`") for c in id_cols], "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")))).alias("spans"),
-    )
+    """``id_cols`` with ``base`` (pattern spans) and ``spans`` (all spans), underscores in front of a name that is taken.
+    Rows without a pattern span meet no term; in the join they have a key of their own, so that they don't pile up."""
+    narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in id_cols]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    own = F.concat(F.lit("-"), F.xxhash64("row"))
+    based = with_spans(narrow, "text", "base").select("row", "base", F.when(F.size("base") > 0, _text_key(F.col("text"))).otherwise(own).alias("text_key"))
+    joined = based.join(term_spans(docs, text_col, **limits), "text_key", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(_SPANS))))
+    return joined.select(*[F.col("row")[c].alias(c) for c in id_cols], F.col("base").alias(C.free_name(id_cols, "base")), every.alias(C.free_name(id_cols, "spans")))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """All rows and columns, with every span replaced: pattern spans by their kind in brackets, terms by their word class
     or by nothing. Only the texts with pattern spans are shuffled."""
     order = docs.columns
-    spans_col, key = C.free_name(order, "spans"), C.free_name(order, "text_key")
-    marked = with_spans(docs, text_col, spans_col)
-    more = term_spans(docs, text_col, **limits).withColumnRenamed("text_key", key)
-    clean = marked.where(F.size(spans_col) == 0).select(*[F.col(f"`{c}`") for c in order])
-    dirty = marked.where(F.size(spans_col) > 0).withColumn(key, _text_key(F.col(f"`{text_col}`"))).join(more, key, "left")
-    spans = F.array_sort(F.concat(spans_col, F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>"))))
-    text = F.col(f"`{text_col}`")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = with_spans(packed, "text", "base")
+    clean = marked.where(F.size("base") == 0).select(*[F.col("row")[c].alias(c) for c in order])
+    dirty = marked.where(F.size("base") > 0).withColumn("text_key", _text_key(F.col("text"))).join(term_spans(docs, text_col, **limits), "text_key", "left")
+    text = F.col("text")
 
     def add(acc, s):
         shown = F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
@@ -235,10 +233,10 @@ def sanitise(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
         )
 
     whole = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+        F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(_SPANS)))), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return clean.unionByName(dirty.select(*[whole.alias(c) if c == text_col else F.col(f"`{c}`") for c in order]))
+    return clean.unionByName(dirty.select(*[whole.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in order]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ diagonal by ``DIAGONAL``, and its Cholesky factor is kept in inverse form with t
 difference of the two classes' log-densities (half the difference of Mahalanobis distances and log-determinants) plus
 the log-ratio of the class shares.
 
-Features are counts of the text alone, as log-ratios, so that they are roughly bell-shaped: length, word length,
-symbols, exclamation marks, separators, capitals, digits, punctuation, repeated three-word windows, words equal to the
-one before, distinct words, repeated lines, words per line, closed lines.
+Features are counts of the text alone, as log-ratios, so that they are roughly bell-shaped: word length, symbols,
+exclamation marks, separators, capitals, digits, punctuation, repeated three-word windows, words equal to the one before.
+None follows the text's length, so that short clean texts are not rejected for being short.
 
 Defined cases: null and empty texts have the features of an empty text and get a score; rows without a label, with a
 null label or in the held-out fold are not learned from; a label that stands twice counts twice; if a class has no
@@ -30,9 +30,7 @@ from tessera.llm import line_quality
 
 POOL = 0.1
 DIAGONAL = 0.05
-FEATURES = (
-    "words", "word_length", "symbols", "bangs", "pipes", "capitals", "digits", "punctuation", "repeats", "stutter", "distinct", "dup_lines", "line_words", "open_lines",
-)
+FEATURES = ("word_length", "symbols", "bangs", "pipes", "capitals", "digits", "punctuation", "repeats", "stutter")
 _DIGIT = line_quality._flags("0123456789")
 _PUNCTUATION = line_quality._flags(".,;:?")
 
@@ -47,7 +45,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     row_of_word = np.repeat(np.arange(rows), np.diff(word_offsets))
     words = np.diff(word_offsets).astype(float)
     chars = of(C.NOT_SPACE[data] & ((data & 0xC0) != 0x80))
-    later = line_quality._earlier(row_of_word, hashes) if len(hashes) else np.zeros(0, bool)
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (row_of_word[1:] == row_of_word[:-1])
     capital = line_quality._UPPER[data]
@@ -57,23 +54,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         capital[1:] |= lead & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
         letter[1:] |= lead & (data[1:] >= 0x80)
     capitals, letters = of(capital), of(letter)
-    begin, end, _ = C.word_spans(data, offsets, line_quality._NOT_NEWLINE)
-    first, last = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-    worded = last > first
-    begin, end, last = begin[worded], end[worded], last[worded]
-    row_of_line = np.searchsorted(offsets, begin, "right") - 1
-    lines = np.bincount(row_of_line, minlength=rows)
-    opened = ~line_quality._CLOSING[data[ends[last - 1] - 1]] if len(last) else np.zeros(0, bool)
-    open_lines = np.bincount(row_of_line[opened], minlength=rows)
-    dup_lines = np.bincount(row_of_line[line_quality._earlier(row_of_line, C.word_hashes(data, begin, end, False))], minlength=rows) if len(begin) else np.zeros(rows)
     repeats = line_quality._repeated_words(hashes, word_offsets)
     rate = lambda part, whole: np.log((part + 0.5) / (whole + 10.0))
     odds = lambda part, whole: np.log((part + 0.5) / (np.maximum(whole - part, 0) + 0.5))
     return np.column_stack([
-        np.log1p(words), np.log((chars + 5.0) / (words + 1.0)), rate(of(line_quality._SYMBOL[data]), words), rate(of(data == 0x21), words),
+        np.log((chars + 5.0) / (words + 1.0)), rate(of(line_quality._SYMBOL[data]), words), rate(of(data == 0x21), words),
         rate(of(line_quality._PIPE[data]), words), odds(capitals, letters), rate(of(_DIGIT[data]), chars), rate(of(_PUNCTUATION[data]), words),
-        odds(repeats, words), rate(np.bincount(row_of_word[again], minlength=rows), words), odds(words - np.bincount(row_of_word[later], minlength=rows), words),
-        rate(dup_lines, lines), np.log((words + 1.0) / (lines + 1.0)), odds(open_lines, lines),
+        odds(repeats, words), rate(np.bincount(row_of_word[again], minlength=rows), words),
     ]) if rows else np.zeros((0, len(FEATURES)))
 
 
