@@ -1,8 +1,7 @@
 """Interval statistics: for each interval [start, end] of a key, aggregate the points of the same key that
 fall inside it (both ends inclusive, a null end means open).
 
-The direct form is a range join on the key (``interval_stats_join``): every interval meets every point of
-its key, so a long-lived key with many intervals and many points emits all pairs before the range filter.
+The direct form is a range join on the key: every interval meets every point of its key, so a long-lived key with many intervals and many points emits all pairs before the range filter.
 ``interval_stats`` gives the same answer without pairs, for intervals made by pairing consecutive events of a
 key (closed intervals of one key never overlap except at shared endpoints; open ones may overlap freely):
 
@@ -24,7 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import open_end
 from tessera.operators.pairing import pack_key, time_bucket
 
 _UNB = Window.unboundedPreceding
@@ -98,14 +96,16 @@ def interval_stats(
     stream = stream.withColumn("_b", time_bucket("_t", bucket_seconds))
 
     vals = list(values)
-    w = Window.partitionBy("_pk", "_b").orderBy("_t", "_kind").rowsBetween(_UNB, Window.currentRow)
+    # Of closed intervals that start together (a zero-length one and a longer one) the longest comes last, so the
+    # as-of row and the bucket's carry are the one that can still hold later points.
+    w = Window.partitionBy("_pk", "_b").orderBy("_t", "_kind", F.col("_iv._e")).rowsBetween(_UNB, Window.currentRow)
     scanned = stream.select(
         "_pk", "_b", "_t", "_kind", "_pl",
         F.last("_iv", ignorenulls=True).over(w).alias("_iv_in"),
         *[F.sum(v).over(w).alias(f"_run{v}") for v in vals],
     ).filter((F.col("_kind") == _OPEN) | F.col("_pl").isNotNull())
     summary = stream.groupBy("_pk", "_b").agg(
-        F.max_by("_iv", F.when(F.col("_iv").isNotNull(), F.struct("_t", "_kind"))).alias("_bl"),
+        F.max_by("_iv", F.when(F.col("_iv").isNotNull(), F.struct("_t", "_kind", F.col("_iv._e")))).alias("_bl"),
         *[F.sum(v).alias(f"_tot{v}") for v in vals],
     )
     before = Window.partitionBy("_pk").orderBy("_b").rowsBetween(_UNB, -1)
@@ -147,30 +147,3 @@ def interval_stats(
     stats = closed_stats.unionByName(open_stats)
     result = intervals.select(id_col).join(stats, id_col, "left")
     return result.select(id_col, *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in outs])
-
-
-def interval_stats_join(
-    intervals: DataFrame,
-    points: DataFrame,
-    *,
-    id_col: str,
-    keys: Sequence[str],
-    start: str,
-    end: str,
-    time: str,
-    count_col: str,
-    sums: dict[str, str],
-    distinct: tuple[str, str] | None,
-) -> DataFrame:
-    """The direct range join (equi keys + inclusive range, open end = far future). Kept as the
-    brute-force reference for tests and for small inputs."""
-    i, p = intervals.alias("i"), points.alias("p")
-    cond = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in keys]
-    cond += [F.col(f"p.{time}") >= F.col(f"i.{start}"), F.col(f"p.{time}") <= open_end(F.col(f"i.{end}"))]
-    aggs = [F.count(F.col(f"p.{count_col}")).alias("_cnt")]
-    aggs += [F.sum(F.col(f"p.{src}").cast("long")).alias(out) for out, src in sums.items()]
-    if distinct:
-        aggs.append(F.countDistinct(F.col(f"p.{distinct[1]}")).alias(distinct[0]))
-    stats = i.join(p, cond, "left").groupBy(F.col(f"i.{id_col}").alias(id_col)).agg(*aggs)
-    outs = ["_cnt", *sums.keys(), *([distinct[0]] if distinct else [])]
-    return stats.select(id_col, *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in outs])
