@@ -27,7 +27,7 @@ def main() -> None:
     from tessera.sources.events_source import ParquetEventSource
     from tessera.sources.lake import Lake
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, driver_memory="8g")
     scratch = tempfile.mkdtemp(prefix="bench-", dir=os.environ.get("TESSERA_SCRATCH", "/tmp"))
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(os.path.join(scratch, "checkpoints"))

@@ -68,21 +68,19 @@ def event_checks(bronze: DataFrame, events: DataFrame, now: Column | None = None
 
 
 def event_checks_incremental(old_bronze: DataFrame, new_bronze: DataFrame, old_events: DataFrame,
-                             inserted: DataFrame, now: Column | None = None,
-                             broadcast_ids: bool = True) -> DataFrame:
+                             inserted: DataFrame, now: Column | None = None) -> DataFrame:
     """Q1-Q4 after an append, with the same values as ``event_checks`` over the whole tables.
 
     The committed tables passed Q1-Q4 when they were published (error checks gate every commit), so the
     committed silver ids are unique, complete and not late, and their count equals the distinct
     committed bronze ids (so that count cancels out of Q4). Only the new rows and their collisions with
-    committed ids remain. The committed ids are scanned once against the (size-checked, broadcast) new
-    ids: a map-side semi-join instead of grouping every event_id of the log.
+    committed ids remain. The committed ids are scanned once in a semi-join with the new ids, whose side Spark
+    broadcasts if it is small, instead of grouping every event_id of the log.
     """
     now = now if now is not None else F.current_timestamp()
     late = F.col("occurred_at") > now + F.expr(f"INTERVAL {C.FUTURE_TOLERANCE_MINUTES} MINUTES")
     missing = F.col("event_type").isNull() | F.col("occurred_at").isNull() | F.col("event_id").isNull()
     new_ids = new_bronze.select("event_id").distinct()
-    new_ids = F.broadcast(new_ids) if broadcast_ids else new_ids
     zero = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
 

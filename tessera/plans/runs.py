@@ -11,11 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.lake import Lake
+
 RUN_SCHEMA = (
     "run_id long, seq long, started_at timestamp, finished_at timestamp, status string, full_refresh boolean, "
     "watermark_from long, watermark_to long, row_counts string, checks string, error string"
 )
-ERROR_MAX = 8000
+SHOWN_ERROR = 300
 
 
 def latest_rows(log: DataFrame) -> DataFrame:
@@ -24,16 +26,21 @@ def latest_rows(log: DataFrame) -> DataFrame:
     return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "seq")
 
 
+def shown_error(col: str = "error", chars: int = SHOWN_ERROR):
+    """P19 for display only: the beginning of an error; the log keeps the whole text."""
+    return F.substring(col, 1, chars)
+
+
 def last_run(log: DataFrame) -> DataFrame:
-    """T3 + P19 + P20: the newest run with its error cut to 300 characters and the passed/total check
-    counts read from the JSON check list."""
+    """T3 + P20: the newest run with its whole error and the passed/total check counts read from the JSON check
+    list. A display cuts the error with ``shown_error``."""
     checks = F.from_json(F.coalesce(F.col("checks"), F.lit("[]")), "array<struct<passed:boolean>>")
     return (
         latest_rows(log)
         .orderBy(F.col("run_id").desc())
         .limit(1)
         .select(
-            "run_id", "status", "started_at", "finished_at", F.substring("error", 1, 300).alias("error"),
+            "run_id", "status", "started_at", "finished_at", "error",
             F.size(F.filter(checks, lambda c: c["passed"])).cast("long").alias("passed"),
             F.size(checks).cast("long").alias("total"),
         )
@@ -55,10 +62,9 @@ class RunLog:
         return f"{self.root}/_runs"
 
     def table(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RUN_SCHEMA).parquet(self.path)
-        except Exception:  # noqa: BLE001 - no run yet
+        if not Lake(self.spark, self.root).path_exists(self.path):  # no run yet
             return self.spark.createDataFrame([], RUN_SCHEMA)
+        return self.spark.read.schema(RUN_SCHEMA).parquet(self.path)
 
     def _append(self, **row) -> None:
         full = {c.split()[0]: None for c in RUN_SCHEMA.split(", ")}
@@ -66,7 +72,8 @@ class RunLog:
         self.spark.createDataFrame([full], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def last_watermark(self) -> int:
-        """Largest watermark of a successful run (0 if none)."""
+        """Largest watermark of a successful run (0 if none). A report: a job's own watermark is the one committed with
+        the tables, since a run may end between its commit and its last log row."""
         cur = latest_rows(self.table()).filter(F.col("status") == "success")
         return int(cur.agg(F.coalesce(F.max("watermark_to"), F.lit(0))).first()[0])
 
@@ -92,5 +99,5 @@ class RunLog:
             watermark_from=started["watermark_from"] if started else None,
             watermark_to=watermark_to if status == "success" else None,
             row_counts=json.dumps(row_counts), checks=json.dumps(checks, default=str),
-            error=error[:ERROR_MAX] if error else None,
+            error=error,
         )

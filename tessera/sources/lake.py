@@ -16,7 +16,9 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFESTS = "_manifests"
 SEGMENT = "segment"
@@ -27,7 +29,9 @@ class Lake:
     spark: SparkSession
     root: str
     _pending: dict[str, list[str]] = field(default_factory=dict)
+    _schemas: dict[str, str] = field(default_factory=dict)
     _meta: dict = field(default_factory=dict)
+    _base: dict | None = None
 
     # ---- filesystem helpers (Hadoop FS via the session) ----
     def _fs(self, path: str):
@@ -61,11 +65,22 @@ class Lake:
 
     def _rename(self, src: str, dst: str) -> bool:
         """Rename that never replaces an existing file (False if ``dst`` exists)."""
-        fs, s = self._fs(src)
-        _, d = self._fs(dst)
-        return bool(fs.rename(s, d))
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        no_options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        s, d = hadoop.Path(src), hadoop.Path(dst)
+        try:
+            hadoop.FileContext.getFileContext(s.toUri(), self.spark._jsc.hadoopConfiguration()).rename(s, d, no_options)
+        except Py4JJavaError as err:
+            if "FileAlreadyExists" in str(err.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
 
     # ---- manifest: numbered versions; the highest committed number is current ----
+    def path_exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return bool(fs.exists(p))
+
     def _versions(self) -> list[int]:
         fs, p = self._fs(f"{self.root}/{MANIFESTS}")
         if not fs.exists(p):
@@ -81,8 +96,21 @@ class Lake:
         m["version"] = versions[-1]
         return m
 
+    def begin(self) -> dict:
+        """Starts a run: its reads see this version of the lake, and its commit must be the next one."""
+        self._base = self.manifest()
+        return self._base
+
+    def _seen(self) -> dict:
+        """The run's version of the lake; outside a run the latest."""
+        return self._base if self._base is not None else self.manifest()
+
+    def names(self, layer: str) -> list[str]:
+        """Committed tables of a layer."""
+        return sorted(k.split("/", 1)[1] for k, segs in self._seen()["tables"].items() if k.startswith(f"{layer}/") and segs)
+
     def segments(self, layer: str, name: str) -> list[str]:
-        return self.manifest()["tables"].get(f"{layer}/{name}", [])
+        return self._seen()["tables"].get(f"{layer}/{name}", [])
 
     def exists(self, layer: str, name: str) -> bool:
         """A table is ready once a commit has named it."""
@@ -98,8 +126,12 @@ class Lake:
     def read_paths(self, layer: str, name: str, segs: list[str]) -> DataFrame:
         """Segments are ``segment=...`` directories, so all of them read as one relation (one scan with
         partition discovery and pruning inside) and the ``segment`` column is dropped."""
-        base = f"{self.root}/{layer}/{name}"
-        return self.spark.read.option("basePath", base).parquet(*segs).drop(SEGMENT)
+        key = f"{layer}/{name}"
+        known = self._schemas.get(key) or self._seen().get("schemas", {}).get(key)
+        reader = self.spark.read.option("basePath", f"{self.root}/{key}")
+        if known:  # a table without rows may have no file to take the schema from
+            reader = reader.schema(StructType.fromJson(json.loads(known)))
+        return reader.parquet(*segs).drop(SEGMENT)
 
     def current(self, layer: str, name: str) -> DataFrame | None:
         """The table as this run sees it: pending segments if written in this run, else committed."""
@@ -125,6 +157,9 @@ class Lake:
             writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
         writer.parquet(path)
         key = f"{layer}/{name}"
+        if self._base is None:
+            self.begin()
+        self._schemas[key] = df.schema.json()
         current = self._pending.get(key, self.segments(layer, name))
         self._pending[key] = [path] if mode == "overwrite" else [*current, path]
         return path
@@ -133,22 +168,41 @@ class Lake:
         self._meta.update(values)
 
     def commit(self) -> int:
-        """One rename of a complete manifest to the next version number makes every pending table
-        version (and metadata) visible together. A concurrent commit that took the number first wins
-        and this one fails instead of overwriting it."""
-        m = self.manifest()
-        version = m.pop("version") + 1
-        m["tables"].update(self._pending)
-        m["meta"].update(self._meta)
+        """One rename of a complete manifest to the number after the run's own version makes every pending table
+        (and metadata) visible together. If another commit has taken that number meanwhile, this one fails: its segment
+        lists were made from an older version and would drop the other's rows."""
+        base = self._base if self._base is not None else self.begin()
+        version = base["version"] + 1
+        m = {
+            "tables": {**base["tables"], **self._pending},
+            "schemas": {**base.get("schemas", {}), **self._schemas},
+            "meta": {**base["meta"], **self._meta},
+        }
         tmp = f"{self.root}/{MANIFESTS}/.tmp-{uuid.uuid4().hex[:8]}"
         self._write_text(tmp, json.dumps(m, indent=1, sort_keys=True))
-        if not self._rename(tmp, f"{self.root}/{MANIFESTS}/{version:020d}.json"):
-            raise RuntimeError(f"lake commit conflict at version {version}")
-        self._pending.clear()
-        self._meta.clear()
+        if version <= max(self._versions(), default=0) or not self._rename(tmp, f"{self.root}/{MANIFESTS}/{version:020d}.json"):
+            raise RuntimeError(f"lake commit conflict: version {version} was committed since this run began")
+        self.abort()
         return version
 
+    def replaced(self, keep_versions: int = 2) -> list[str]:
+        """Segments that only manifests older than the last ``keep_versions`` name."""
+        versions = self._versions()
+        at = {v: json.loads(self._read_text(f"{self.root}/{MANIFESTS}/{v:020d}.json"))["tables"] for v in versions}
+        live = {s for v in versions[-keep_versions:] for segs in at[v].values() for s in segs}
+        return sorted({s for v in versions[:-keep_versions] for segs in at[v].values() for s in segs} - live)
+
+    def vacuum(self, keep_versions: int = 2) -> int:
+        """Removes replaced segments and the manifests that named them; readers of the kept versions lose nothing."""
+        gone, old = self.replaced(keep_versions), self._versions()[:-keep_versions]
+        for path in gone + [f"{self.root}/{MANIFESTS}/{v:020d}.json" for v in old]:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+        return len(gone)
+
     def abort(self) -> None:
         """Forget pending writes: their directories stay unreferenced and are never read."""
         self._pending.clear()
+        self._schemas.clear()
         self._meta.clear()
+        self._base = None

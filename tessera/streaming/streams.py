@@ -11,13 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import constants as C
 from tessera.functions import payload, traffic_type
-from tessera.plans.silver import silver_projection
+from tessera.plans.silver import silver_projection, to_silver_events
 from tessera.sources.adapter import bronze_from_events
 from tessera.sources.events_source import insert_only_merge
-
-# Mexico City has kept UTC-6 all year since 2022: local days start at 06:00 UTC.
-LOCAL_DAY_OFFSET = "6 hours"
-
+from tessera.sources.lake import Lake
 
 def driver_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The driver's ``events.parquet`` as a file stream, mapped to the bronze shape."""
@@ -29,31 +26,30 @@ def driver_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger:
 
 
 def silver_stream(bronze: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Z1 (in-stream part): typed events with copies of an event_id dropped while the first is inside the
-    watermark (state is bounded by the watermark, unlike a plain dropDuplicates)."""
+    """Typed events for the windowed streams (Z2-Z4): copies of an event_id are dropped while the first is inside the
+    watermark, which also bounds the state. Rows later than the watermark are dropped there; ``late_rows`` counts them.
+    ``ingest`` has no watermark and stores every event."""
     deduped = bronze.withWatermark("occurred_at", watermark).dropDuplicatesWithinWatermark(["event_id"])
     return silver_projection(deduped)
 
 
-def ingest(bronze: DataFrame, target_path: str, checkpoint: str, watermark: str = "1 hour"):
-    """Each micro-batch keeps only event_ids not yet in the target (insert-only merge) and appends.
-    Returns the started query; with ``availableNow`` it stops by itself."""
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators have dropped as later than the watermark, over its recent progress."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def ingest(bronze: DataFrame, target_path: str, checkpoint: str):
+    """Each micro-batch keeps the first copy of each event_id, drops those the target has (insert-only merge) and
+    appends the rest, however late they are. Returns the started query; with ``availableNow`` it stops by itself."""
     spark = bronze.sparkSession
+    target = Lake(spark, target_path)
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        try:
-            existing = spark.read.parquet(target_path).select("event_id")
-        except Exception:  # noqa: BLE001 - first batch: no target yet
-            existing = None
-        insert_only_merge(existing, batch, "event_id").write.mode("append").partitionBy("event_date").parquet(target_path)
+        existing = spark.read.parquet(target_path).select("event_id") if target.path_exists(target_path) else None
+        fresh = insert_only_merge(existing, to_silver_events(batch), "event_id")
+        fresh.write.mode("append").partitionBy("event_date").parquet(target_path)
 
-    return (
-        silver_stream(bronze, watermark)
-        .writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return bronze.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _watermarked(events: DataFrame, watermark: str | None) -> DataFrame:
@@ -62,20 +58,27 @@ def _watermarked(events: DataFrame, watermark: str | None) -> DataFrame:
 
 
 def activity(events: DataFrame, every: str = "1 day", slide: str | None = None, watermark: str | None = None) -> DataFrame:
-    """Events, moves and snaps per local window and traffic class (tumbling; sliding with ``slide``)."""
-    start = LOCAL_DAY_OFFSET if every.endswith("day") else None
-    w = F.window("occurred_at", every, slide or every, start) if start else F.window("occurred_at", every, slide or every)
-    return (
-        _watermarked(events, watermark)
-        .withColumn("traffic_type", traffic_type("is_synthetic", "is_bot"))
-        .groupBy(w.alias("window"), "traffic_type")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.count(F.when(F.col("event_type") == C.PIECE_GRABBED, F.lit(1))).alias("moves"),
-            F.count(F.when((F.col("event_type") == C.PIECE_DROPPED) & payload("snapped", "boolean"), F.lit(1))).alias("snaps"),
+    """Events, moves and snaps per window and traffic class (tumbling; sliding with ``slide``). Windows of days are
+    the zone's own days, as in batch: the events of a local day (``event_date``), whatever the clock rule of its year.
+    They are grouped inside a two-day event-time window that holds the day, so the watermark can close them."""
+    marked = _watermarked(events, watermark).withColumn("traffic_type", traffic_type("is_synthetic", "is_bot"))
+    counts = [
+        F.count(F.lit(1)).alias("events"),
+        F.count(F.when(F.col("event_type") == C.PIECE_GRABBED, F.lit(1))).alias("moves"),
+        F.count(F.when((F.col("event_type") == C.PIECE_DROPPED) & payload("snapped", "boolean"), F.lit(1))).alias("snaps"),
+    ]
+    if every == "1 day" and slide is None:
+        # Local days start up to a day away from UTC days: the window [start of the zone's day, + 1 day] by event time.
+        day_start = F.to_utc_timestamp(F.col("event_date").cast("timestamp"), C.TIME_ZONE)
+        day_end = F.to_utc_timestamp(F.date_add("event_date", 1).cast("timestamp"), C.TIME_ZONE)
+        inside = marked.withColumn("span", F.window("occurred_at", "2 days", "1 day")).where(
+            (F.col("span.start") <= day_start) & (day_start < F.col("span.start") + F.expr("INTERVAL 1 DAY")) & (day_end <= F.col("span.end"))
         )
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "traffic_type", "events", "moves", "snaps")
+        grouped = inside.groupBy("span", day_start.alias("window_start"), day_end.alias("window_end"), "traffic_type").agg(*counts)
+        return grouped.select("window_start", "window_end", "traffic_type", "events", "moves", "snaps")
+    w = F.window("occurred_at", every, slide or every)
+    return marked.groupBy(w.alias("window"), "traffic_type").agg(*counts).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "traffic_type", "events", "moves", "snaps",
     )
 
 
@@ -108,21 +111,26 @@ def _pair_holds(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         out.append((move_id, session_id, group_id, grabbed_at, None, "timeout"))
         state.remove()
     else:
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values(["occurred_at", "source_id"])
-        held = state.get if state.exists else None
-        for r in pdf.itertuples(index=False):
-            gid = None if pd.isna(r.group_id) else int(r.group_id)
-            if held is not None:
-                h_move, h_group, h_at, _ = held
-                closed = r.event_type in C.MOVE_CLOSERS and gid is not None and h_group == gid
-                outcome = ("dropped" if r.event_type == C.PIECE_DROPPED else "abandoned") if closed else "open"
-                out.append((h_move, session_id, h_group, h_at, r.occurred_at if closed else None, outcome))
-                held = None
-            if r.event_type == C.PIECE_GRABBED:
-                held = (r.event_id, gid, r.occurred_at, int(r.source_id))
-        if held is not None:
-            state.update(held)
-            state.setTimeoutTimestamp(int(pd.Timestamp(held[2]).timestamp() * 1000) + C.HOLD_TIMEOUT_MS)
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values(["occurred_at", "source_id"], ignore_index=True)
+        if state.exists:  # the open grab of earlier batches goes first
+            move_id, group_id, grabbed_at, source_id = state.get
+            first = pd.DataFrame([{"event_id": move_id, "event_type": C.PIECE_GRABBED, "occurred_at": grabbed_at, "source_id": source_id, "group_id": group_id}])
+            pdf = pd.concat([first, pdf], ignore_index=True)
+        nxt = pdf.shift(-1)
+        grab = pdf["event_type"] == C.PIECE_GRABBED
+        last = grab & (pdf.index == len(pdf) - 1)  # not answered yet: it waits in state
+        closes = nxt["event_type"].isin(C.MOVE_CLOSERS) & (nxt["group_id"] == pdf["group_id"])
+        done = pdf[grab & ~last]
+        closed = closes[done.index]
+        outcome = nxt.loc[done.index, "event_type"].map({C.PIECE_DROPPED: "dropped", C.PIECE_ABANDONED: "abandoned"}).where(closed, "open")
+        out = list(zip(
+            done["event_id"], [session_id] * len(done), [None if pd.isna(g) else int(g) for g in done["group_id"]], done["occurred_at"],
+            [t if c else None for t, c in zip(nxt.loc[done.index, "occurred_at"], closed)], outcome,
+        ))
+        if last.any():
+            r = pdf.iloc[-1]
+            state.update((r["event_id"], None if pd.isna(r["group_id"]) else int(r["group_id"]), r["occurred_at"], int(r["source_id"])))
+            state.setTimeoutTimestamp(int(pd.Timestamp(r["occurred_at"]).timestamp() * 1000) + C.HOLD_TIMEOUT_MS)
         elif state.exists:
             state.remove()
     yield pd.DataFrame(out, columns=["move_id", "session_id", "group_id", "grabbed_at", "ended_at", "outcome"])

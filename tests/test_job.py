@@ -157,10 +157,8 @@ def test_incremental_event_checks_equal_whole_table_checks(spark):
     inserted = spark.createDataFrame([("b", "x", ts), ("c", "x", ts), ("c", "x", ts), ("d", None, ts)], schema)
     now = F.lit("2026-09-11 00:00:00").cast("timestamp")
     whole = quality.event_checks(old_bronze.unionByName(new_bronze), old_silver.unionByName(inserted), now)
-    for broadcast_ids in (True, False):
-        incr = quality.event_checks_incremental(old_bronze, new_bronze, old_silver, inserted, now=now,
-                                                broadcast_ids=broadcast_ids)
-        assert sorted(incr.collect()) == sorted(whole.collect())
+    incr = quality.event_checks_incremental(old_bronze, new_bronze, old_silver, inserted, now=now)
+    assert sorted(incr.collect()) == sorted(whole.collect())
     assert {r["name"]: r["value"] for r in whole.collect()}[quality.UNIQUE_EVENT_ID] == 2
 
 
@@ -171,6 +169,137 @@ def test_touched_pk_check_equals_whole_table_check(spark):
     table = spark.createDataFrame(rows, "session_id string, move_id string")
     touched = spark.createDataFrame([("s3",), ("s4",)], "session_id string")
     whole = refresh.pk_violations({"fact_move": table}).collect()
-    for broadcast_keys in (True, False):
-        assert refresh.pk_violations_touched(table, "fact_move", touched, broadcast_keys).collect() == whole
+    assert refresh.pk_violations_touched(table, "fact_move", touched).collect() == whole
     assert (whole[0]["duplicate_keys"], whole[0]["null_keys"]) == (2, 1)
+
+
+def test_second_of_two_writers_fails(spark, scratch):
+    first, second = Lake(spark, scratch), Lake(spark, scratch)
+    first.write(spark.range(3), "gold", "t")
+    first.commit()
+    for lake, rows in ((first, 2), (second, 4)):
+        lake.begin()
+        lake.write(spark.range(rows), "gold", "t", mode="append")
+    assert first.commit() == 2
+    with pytest.raises(RuntimeError, match="conflict"):
+        second.commit()
+    second.abort()
+    assert Lake(spark, scratch).read("gold", "t").count() == 5
+    second.write(spark.range(4), "gold", "t", mode="append")
+    second.commit()
+    assert Lake(spark, scratch).read("gold", "t").count() == 9
+
+
+def test_rename_never_replaces(spark, scratch):
+    lake = Lake(spark, scratch)
+    lake._write_text(f"{scratch}/a", "a")
+    lake._write_text(f"{scratch}/b", "b")
+    assert not lake._rename(f"{scratch}/a", f"{scratch}/b") and lake._read_text(f"{scratch}/b") == "b"
+    assert lake._rename(f"{scratch}/a", f"{scratch}/c") and not lake.path_exists(f"{scratch}/a")
+
+
+def test_vacuum_keeps_what_the_last_versions_name(spark, scratch):
+    lake = Lake(spark, scratch)
+    paths = []
+    for n in range(4):
+        paths.append(lake.write(spark.range(n), "gold", "t"))
+        lake.write(spark.range(1), "bronze", "log", mode="append")
+        lake.commit()
+    assert lake.vacuum() == 2
+    assert [lake.path_exists(p) for p in paths] == [False, False, True, True]
+    assert lake.read("gold", "t").count() == 3 and lake.read("bronze", "log").count() == 4
+
+
+def test_emptied_source_publishes_empty_tables(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    src = ParquetEventSource(spark, SF_SMALL, visible_up_to=300)
+    assert refresh.run(spark, src, root)["status"] == "success"
+    src.visible_up_to = 0
+    out = refresh.run(spark, src, root, full_refresh=True)
+    assert (out["status"], out["watermark"], out["counts"]["silver_events"]) == ("success", 0, 0), out["error"]
+    lake = Lake(spark, root)
+    assert [lake.read("gold", n).count() for n in GOLD] == [0] * len(GOLD)
+    src.visible_up_to = 200
+    again = refresh.run(spark, src, root)
+    assert (again["status"], again["watermark"], again["counts"]["silver_events"]) == ("success", 200, 200), again["error"]
+
+
+def test_unequal_counts_stop_the_run_before_the_commit(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "lake")
+    assert refresh.run(spark, ParquetEventSource(spark, SF_SMALL, visible_up_to=300), root)["status"] == "success"
+    before = Lake(spark, root).manifest()
+    monkeypatch.setattr(refresh, "_unequal_counts", lambda tables, written: ["fact_move"])
+    out = refresh.run(spark, ParquetEventSource(spark, SF_SMALL), root)
+    assert out["status"] == "failed" and "fact_move" in out["error"]
+    assert Lake(spark, root).manifest() == before
+    monkeypatch.undo()
+    t = spark.range(3)
+    assert refresh._unequal_counts({"a": t, "b": t.limit(0)}, {"a": 3, "b": 0}) == []
+    assert refresh._unequal_counts({"a": t, "b": t.limit(0)}, {"a": 2, "b": 1}) == ["a", "b"]
+
+
+def test_late_commits_below_the_watermark(spark, tmp_path):
+    class Late(ParquetEventSource):
+        hidden = True
+
+        def read(self, after, up_to):
+            df = super().read(after, up_to)
+            return df.where("id not between 480 and 489") if self.hidden else df
+
+    root, src = str(tmp_path / "lake"), Late(spark, SF_SMALL, visible_up_to=500)
+    assert refresh.run(spark, src, root)["counts"]["silver_events"] == 490
+    src.hidden, src.visible_up_to = False, 600
+    out = refresh.run(spark, src, root, overlap=50)
+    assert (out["status"], out["counts"]["bronze_new_rows"], out["counts"]["silver_events"]) == ("success", 110, 600), out["error"]
+
+
+def test_merge_does_not_shuffle_the_stored_side(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(200_000).selectExpr("cast(id as string) as event_id", "repeat('x', 20) as payload").write.parquet(path)
+    fresh = spark.range(199_990, 200_010).selectExpr("cast(id as string) as event_id", "'y' as payload")
+    merged = insert_only_merge(spark.read.parquet(path), fresh, "event_id")
+    assert sorted(int(r["event_id"]) for r in merged.collect()) == list(range(200_000, 200_010))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    above = plan[: plan.index("FileScan")].splitlines()[-4:]
+    assert "payload" not in scan and not any("Exchange hashpartitioning" in line for line in above)
+
+
+def test_a_first_load_that_skips_rows_is_warned_of():
+    from tessera.sources.events_source import skipped_warning
+
+    assert skipped_warning(10, 10, True) is None and skipped_warning(10, 8, False) is None
+    assert "2 of 10" in skipped_warning(10, 8, True)
+
+
+def test_settings_leave_the_cluster_to_the_submitter():
+    from tessera.session import settings
+
+    bare = settings()
+    assert not {"spark.master", "spark.driver.memory", "spark.sql.shuffle.partitions", "spark.ui.enabled"} & set(bare)
+    assert bare["spark.sql.session.timeZone"] == "UTC"
+    local = settings("local[2]", 4, "1g", {"spark.x": "y"})
+    assert (local["spark.master"], local["spark.sql.shuffle.partitions"], local["spark.driver.memory"], local["spark.x"]) == ("local[2]", "4", "1g", "y")
+
+
+def test_arguments_choose_the_source(spark):
+    from tessera.sources.events_source import JdbcEventSource
+
+    args = refresh.parser().parse_args(["--jdbc-url", "jdbc:x", "--jdbc-property", "driver=a.B", "--jdbc-property", "user=u", "--partitions", "9", "--lake", "/l", "--overlap", "7"])
+    src = refresh.source_of(spark, args)
+    assert isinstance(src, JdbcEventSource) and (src.url, src.properties, src.num_partitions, args.overlap) == ("jdbc:x", {"driver": "a.B", "user": "u"}, 9, 7)
+    assert refresh.source_of(spark, refresh.parser().parse_args(["--sf", SF_SMALL, "--lake", "/l"])).max_id() == 1000
+    with pytest.raises(SystemExit):
+        refresh.parser().parse_args(["--lake", "/l"])
+
+
+def test_five_public_tables_make_the_public_datasets_ready(spark, scratch):
+    from tessera.plans import serving
+
+    lake = Lake(spark, scratch)
+    for n in serving.PUBLIC_TABLES:
+        assert not serving.public_ready(lake)
+        lake.write(spark.range(1), "gold", n)
+        lake.commit()
+    assert serving.public_ready(lake) and serving.missing_tables(lake) == ["fact_session", "fact_puzzle"]
+    assert serving.missing_tables({"dim_date": 1, "fact_puzzle": 2}) == ["fact_session"]

@@ -39,6 +39,7 @@ def test_daily_activity_stream_equals_batch_on_closed_days(spark):
 
     batch: DataFrame = Z.activity(batch_ev)
     emitted = stream.collect()
+    assert Z.late_rows(q) >= 0
     assert q.lastProgress is not None and len(emitted) > 0
     # Every emitted (closed) window equals its batch row.
     assert stream.exceptAll(batch.select(*stream.columns)).count() == 0
@@ -63,3 +64,29 @@ def test_hold_pairs_stream_matches_batch_moves(spark):
     assert sorted(closed_stream.collect()) == sorted(closed_batch.collect())
     # Grabs followed by another move event are emitted open; the rest wait for their timeout.
     assert stream.filter("outcome = 'open'").count() <= moves.filter("outcome = 'open'").count()
+
+
+def test_ingest_stores_events_that_come_days_late(spark, scratch):
+    """Two files in two batches: the second holds events older than everything before it, and repeated ids."""
+    from tests import model
+
+    new = model.events("\n".join(f"{86400 * 5 + k} join a@r" for k in range(20)))
+    late = [r | {"event_id": f"late{r['id']}", "id": r["id"] + 100} for r in model.events("\n".join(f"{k} grab b@r/p group_id=1" for k in range(20)))]
+    for k, rows in enumerate((new, late + new[:5] + late[:3])):
+        model.frame(spark, rows).coalesce(1).write.parquet(f"{scratch}/in/{k}")
+    stream = spark.readStream.schema(model.SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    for _ in range(2):
+        Z.ingest(stream, f"{scratch}/out", f"{scratch}/ckpt").awaitTermination(600)
+    got = [r["event_id"] for r in spark.read.parquet(f"{scratch}/out").collect()]
+    assert len(got) == 40 and set(got) == {r["event_id"] for r in new + late}
+
+
+def test_local_days_follow_the_clock_rule_of_their_year(spark):
+    """Before the rule of 2022 the zone kept summer time: a day of July 2021 starts at 05:00 UTC."""
+    from datetime import datetime
+
+    from tests import model
+
+    rows = [r | {"occurred_at": datetime(2021, 7, 5, h, 30)} for h, r in zip((4, 5, 23), model.events("0 join a@r\n1 join a@r\n2 join a@r"))]
+    got = Z.activity(silver.to_silver_events(model.frame(spark, rows))).orderBy("window_start").collect()
+    assert [(r["window_start"].day, r["window_start"].hour, r["events"]) for r in got] == [(4, 5, 1), (5, 5, 2)]
