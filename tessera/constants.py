@@ -31,7 +31,6 @@ BOT_PREFIX = "bot-"
 # --- fixed values: game rules ----------------------------------------------------------------
 HOLD_TIMEOUT_MS = 30_000  # an untouched hold is released after 30 s
 ROOM_TTL_MS = 24 * 3600 * 1000  # private rooms expire after 24 h idle
-EXPIRE_BATCH = 500  # rooms expired per pass
 FUTURE_TOLERANCE_MINUTES = 10
 OPEN_END = "9999-12-31"  # open interval end for sessions without a leave
 

@@ -34,9 +34,9 @@ def hold_timeouts(moves: DataFrame, events: DataFrame, timeout_ms: int = C.HOLD_
     """Per local day and traffic class, the open holds that are older than the lock timeout at the end
     of the log (candidates for a timeout release; drags are not logged, so this is an estimate) beside
     the abandons recorded with reason `timeout`."""
-    log_end = events.agg(F.max("occurred_at").alias("_end")).withColumn("_k", F.lit(1))
-    stale = F.col("grabbed_at") + F.expr(f"INTERVAL {timeout_ms // 1000} SECONDS") <= F.col("_end")
-    flagged = moves.withColumn("_k", F.lit(1)).join(F.broadcast(log_end), "_k").select(  # one row
+    log_end = events.agg(F.max("occurred_at").alias("log_end")).scalar()
+    stale = F.col("grabbed_at") + F.expr(f"INTERVAL {timeout_ms // 1000} SECONDS") <= log_end
+    flagged = moves.select(
         "event_date", "traffic_type",
         ((F.col("outcome") == "open") & stale).cast("long").alias("open_candidates"),
         ((F.col("outcome") == "abandoned") & (F.col("abandon_reason") == "timeout")).cast("long").alias("recorded_timeouts"),
@@ -46,21 +46,21 @@ def hold_timeouts(moves: DataFrame, events: DataFrame, timeout_ms: int = C.HOLD_
     )
 
 
-def expired_rooms(events: DataFrame, now: Column, ttl_ms: int = C.ROOM_TTL_MS, batch: int = C.EXPIRE_BATCH) -> DataFrame:
-    """Private rooms idle longer than the TTL at ``now``, oldest activity first, at most ``batch`` per
-    pass (the limit is the operator's own batch size), with age and idle time."""
+def expired_rooms(events: DataFrame, now: Column, ttl_ms: int = C.ROOM_TTL_MS, batch: int | None = None) -> DataFrame:
+    """Private rooms idle longer than the TTL at ``now``, oldest activity first, with age and idle time; all of
+    them, or at most ``batch`` if the caller works in passes."""
     rooms = events.filter(F.col("room_slug").isNotNull() & (F.col("room_type") == "private")).groupBy("room_slug").agg(
         F.min("occurred_at").alias("created_at"), F.max("occurred_at").alias("last_activity_at")
     )
     ms = lambda a, b: ((F.unix_micros(a) - F.unix_micros(b)) / 1000).cast("long")
     cutoff = now - F.expr(f"INTERVAL {ttl_ms // 1000} SECONDS")
-    return (
+    idle = (
         rooms.filter(F.col("last_activity_at") < cutoff)
         .select("room_slug", "created_at", "last_activity_at",
                 ms(now, F.col("created_at")).alias("age_ms"), ms(now, F.col("last_activity_at")).alias("idle_ms"))
         .orderBy("last_activity_at", "room_slug")
-        .limit(batch)
     )
+    return idle if batch is None else idle.limit(batch)
 
 
 def friction_counts(events: DataFrame) -> DataFrame:

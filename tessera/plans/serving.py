@@ -199,13 +199,29 @@ def api_difficulty(f_puzzle: DataFrame, p: Periods, traffic: str) -> DataFrame:
     )
 
 
+# --- fixed values: the tables that the public datasets read ---
+PUBLIC_TABLES = ("agg_daily_activity", "agg_daily_puzzles", "agg_hourly_heatmap", "agg_difficulty", "dim_date")
+DASHBOARD_TABLES = ("dim_date", "fact_session", "fact_puzzle")
+
+
+def missing_tables(tables, needed=DASHBOARD_TABLES) -> list[str]:
+    """The needed tables that are not there; ``tables`` holds names, or is a lake's gold layer."""
+    there = tables.names("gold") if hasattr(tables, "names") else tables
+    return [n for n in needed if n not in there]
+
+
+def public_ready(tables) -> bool:
+    """Whether all five public tables are published."""
+    return not missing_tables(tables, PUBLIC_TABLES)
+
+
 def dashboard(spark: SparkSession, tables: dict[str, DataFrame], days=C.DEFAULT_DAYS, traffic="all", as_of=None,
               runs: DataFrame | None = None) -> dict:
     """Everything the admin dashboard shows. Returns {"available": False, "reason": ...} when the
     warehouse is missing or has no complete day."""
     days, traffic = C.validate_dashboard_params(days, traffic)
-    if "fact_session" not in tables or "fact_puzzle" not in tables:
-        return {"available": False, "reason": "no_warehouse"}
+    if missing := missing_tables(tables):
+        return {"available": False, "reason": "no_warehouse", "missing": missing}
     as_of = as_of or dt.date.today()
     p = periods(tables["dim_date"], as_of, days)
     if p is None:
@@ -268,6 +284,11 @@ def _last(df: DataFrame, as_of, months: int) -> DataFrame:
     return df.filter((F.col("date") >= F.add_months(day, -months)) & (F.col("date") < day))
 
 
+def _rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The caller's row limit; none by default."""
+    return df if limit is None else df.limit(limit)
+
+
 def _traffic(df: DataFrame, traffic: list[str] | None) -> DataFrame:
     """The dashboard's traffic filter, on the label column every public dataset has."""
     return df if not traffic else df.filter(F.col("traffic").isin(*traffic))
@@ -291,42 +312,30 @@ def chart_kpi_completion(v_puzzles: DataFrame, as_of, traffic=None) -> DataFrame
     )
 
 
-def chart_sessions_by_day(v_activity: DataFrame, as_of, traffic=None) -> DataFrame:
-    """C4: sessions by day and traffic over the last quarter (row limit 10 000)."""
+def chart_sessions_by_day(v_activity: DataFrame, as_of, traffic=None, limit: int | None = None) -> DataFrame:
+    """C4: sessions by day and traffic over the last quarter."""
     d = _traffic(_last(v_activity, as_of, 3), traffic)
-    return d.groupBy("date", "traffic").agg(F.sum("sessions").alias("sessions")).orderBy("date", "traffic").limit(10000)
+    return _rows(d.groupBy("date", "traffic").agg(F.sum("sessions").alias("sessions")).orderBy("date", "traffic"), limit)
 
 
-def chart_puzzles_by_day(v_puzzles: DataFrame, as_of, traffic=None) -> DataFrame:
-    """Completed puzzles by day and room over the last quarter (row limit 10 000)."""
+def chart_puzzles_by_day(v_puzzles: DataFrame, as_of, traffic=None, limit: int | None = None) -> DataFrame:
+    """Completed puzzles by day and room over the last quarter."""
     d = _traffic(_last(v_puzzles, as_of, 3), traffic)
-    return d.groupBy("date", "room").agg(F.sum("puzzles_completed").alias("completed")).orderBy("date", "room").limit(10000)
+    return _rows(d.groupBy("date", "room").agg(F.sum("puzzles_completed").alias("completed")).orderBy("date", "room"), limit)
 
 
-def chart_heatmap(v_heat: DataFrame, traffic=None) -> DataFrame:
+def chart_heatmap(v_heat: DataFrame, traffic=None, limit: int | None = None) -> DataFrame:
     """Sessions by day label and padded hour, normalized across the whole heatmap (value / max)."""
     d = _traffic(v_heat, traffic).groupBy("day", "hour").agg(F.sum("sessions").alias("sessions"))
-    top = d.agg(F.max("sessions").alias("_max"))
-    # The max is one row; joining on a constant key keeps the plan an equi-join.
-    return (
-        d.withColumn("_k", F.lit(1))
-        .join(F.broadcast(top.withColumn("_k", F.lit(1))), "_k")  # one row: a proven broadcast
-        .select("day", "hour", "sessions",
-                F.when(F.col("_max") > 0, F.col("sessions") / F.col("_max")).alias("intensity"))
-        .orderBy(F.col("hour").asc(), F.col("day").desc())
-        .limit(10000)
-    )
+    top = d.agg(F.max("sessions").alias("top")).scalar()
+    cells = d.select("day", "hour", "sessions", F.when(top > 0, F.col("sessions") / top).alias("intensity"))
+    return _rows(cells.orderBy(F.col("hour").asc(), F.col("day").desc()), limit)
 
 
-def chart_difficulty(v_diff: DataFrame, traffic=None) -> DataFrame:
-    """Completion by size, sizes descending (row limit 100)."""
-    d = _traffic(v_diff, traffic)
-    return (
-        d.groupBy("size")
-        .agg((F.sum("completed") * 1.0 / F.nullif(F.sum("played"), F.lit(0))).alias("completion"))
-        .orderBy(F.col("size").desc())
-        .limit(100)
-    )
+def chart_difficulty(v_diff: DataFrame, traffic=None, limit: int | None = None) -> DataFrame:
+    """Completion by size, sizes descending."""
+    done = (F.sum("completed") * 1.0 / F.nullif(F.sum("played"), F.lit(0))).alias("completion")
+    return _rows(_traffic(v_diff, traffic).groupBy("size").agg(done).orderBy(F.col("size").desc()), limit)
 
 
 def heatmap_dense(heat: DataFrame, steps: int = C.HEATMAP_STEPS) -> DataFrame:
@@ -338,11 +347,13 @@ def heatmap_dense(heat: DataFrame, steps: int = C.HEATMAP_STEPS) -> DataFrame:
     cells = spine.join(heat.select("weekday", "hour", "sessions"), ["weekday", "hour"], "left").select(
         "weekday", "hour", F.coalesce("sessions", F.lit(0).cast("long")).alias("sessions")
     )
-    top = cells.agg(F.max("sessions").alias("_max")).withColumn("_k", F.lit(1))
-    v, mx = F.col("sessions"), F.col("_max")
-    step = F.least(F.expr(f"(sessions * {steps}) div _max"), F.lit(steps - 1))
-    return (
-        cells.withColumn("_k", F.lit(1))
-        .join(F.broadcast(top), "_k")  # one row
-        .select("weekday", "hour", "sessions", F.when((v > 0) & (mx > 0), step).alias("step"))
-    )
+    top = cells.agg(F.max("sessions").alias("top")).scalar()
+    v = F.col("sessions")
+    step = F.least(F.call_function("div", v * steps, F.nullif(top, F.lit(0))), F.lit(steps - 1))
+    return cells.select("weekday", "hour", "sessions", F.when((v > 0) & (top > 0), step).alias("step"))
+
+
+def daily_table(daily: DataFrame) -> DataFrame:
+    """The daily series as the dashboard's table shows it, newest day first, with the day's share of all sessions."""
+    total = daily.agg(F.sum("sessions").alias("all")).scalar()
+    return daily.select("date", "players", "sessions", "moves", "completed", F.call_function("div", F.col("sessions") * 10000, F.nullif(total, F.lit(0))).alias("share_bp")).orderBy(F.col("date").desc())
