@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontamination, html_text, jaccard_join, line_quality, pii, quality_qda, sharding, token_counts, toxicity
+from tessera.llm import bpe, common, decontamination, html_text, jaccard_join, line_quality, oracles, pii, quality_qda, sharding, token_counts, toxicity
 from tessera.registry import register as _register
 
 
@@ -29,7 +29,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@register("op1_line_quality")
+@register("op1_line_quality", oracles.LINE_QUALITY)
 def q_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.digest(common.table(spark, sf_dir, "documents"))
 
@@ -66,7 +66,7 @@ def q_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(common.table(spark, sf_dir, "documents"))
 
 
-@register("op8_decontamination")
+@register("op8_decontamination", oracles.DECONTAMINATION)
 def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +76,6 @@ def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
 
 
-@register("op10_ngram_jaccard")
+@register("op10_ngram_jaccard", oracles.NGRAM_JACCARD)
 def q_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.links(common.table(spark, sf_dir, "documents"))
