@@ -10,7 +10,8 @@ vocabulary is the terms of at least ``MIN_TEXTS`` and ``MIN_SHARE`` of the P tex
 ``MIN_POSTERIOR`` of their texts by the estimate ``prior * p(term | P) / p(term | U)``.
 
 Bound of learning: at most ``MAX_POSITIVE`` P texts and ``MAX_UNLABELLED`` U texts, drawn by hash of doc_id from the
-learning folds; their term sets are gathered on the driver, where NumPy trains. Scoring covers every row.
+learning folds. Their terms are counted by Spark; the driver, where NumPy trains, gets the chosen terms of each drawn
+text only. Scoring covers every row.
 
 Defined cases: null and empty texts have no words and get the score of the bias alone; rows with a null label count as
 unlabelled; without P or U texts all scores are the prior (0 without P); repeated rows are scored each for itself and
@@ -158,13 +159,41 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 out += term_sets(piece, offs)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("p"), pa.array([s.tobytes() for s in out], pa.binary())], names=[id_col, "p", "words"])
 
-    got = drawn.mapInArrow(sets, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, p boolean, words binary").dropDuplicates([id_col, "p"]).toArrow()
+    id_type = docs.schema[id_col].dataType.simpleString()
+    held = C.cut(drawn.mapInArrow(sets, f"`{id_col}` {id_type}, p boolean, words binary").dropDuplicates([id_col, "p"]))
+    vocabulary = _vocabulary(held, float(prior))
+
+    def known(batches):
+        for batch in batches:
+            out = [np.intersect1d(np.frombuffer(x.as_py(), np.uint64), vocabulary, assume_unique=True).tobytes() for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("p"), pa.array(out, pa.binary())], names=[id_col, "p", "words"])
+
+    got = held.mapInArrow(known, f"`{id_col}` {id_type}, p boolean, words binary").toArrow()
     words = [np.frombuffer(x.as_py(), np.uint64) for x in got.column("words")]
     is_p = got.column("p").to_pylist()
     order = np.argsort(np.array(got.column(id_col).to_pylist(), dtype=object).astype(str), kind="stable")  # the same sums in every run
     return train([words[i] for i in order if is_p[i]], [words[i] for i in order if not is_p[i]], float(prior))
 
 
+def _vocabulary(held: DataFrame, prior: float) -> np.ndarray:
+    """The terms that ``train`` would choose, from counts over the drawn texts that Spark makes: only they go on."""
+
+    def terms_of(batches):
+        for batch in batches:
+            for mark, x in zip(batch.column("p").to_pylist(), batch.column("words")):
+                found = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([mark] * len(found), pa.bool_()), pa.array(found, pa.int64())], names=["p", "term"])
+
+    n = {r["p"]: r["count"] for r in held.groupBy("p").count().collect()}
+    n_p, n_u = n.get(True, 0), n.get(False, 0)
+    if not n_p or not n_u:
+        return np.zeros(0, np.uint64)
+    seen = held.mapInArrow(terms_of, "p boolean, term bigint").groupBy("term").agg(F.count_if("p").alias("in_p"), F.count_if(~F.col("p")).alias("in_u"))
+    posterior = F.lit(prior) * (F.col("in_p") / n_p) / ((F.col("in_u") + 1.0) / n_u)
+    told = seen.where((F.col("in_p") >= min(max(MIN_TEXTS, MIN_SHARE * n_p), n_p)) & (posterior >= 0.99 * MIN_POSTERIOR))
+    return np.sort(np.array([r["term"] for r in told.select("term").collect()], np.int64).view(np.uint64))
+
+
 def score(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``id_cols`` with the score of every row. A map over the scan, without a shuffle."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
