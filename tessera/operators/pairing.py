@@ -14,6 +14,7 @@ and reuses the window's hash partitioning instead of shuffling the rows again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,23 @@ def time_bucket(ts: Column | str, bucket_seconds: int | None) -> Column:
     return F.floor(F.unix_micros(col) / F.lit(bucket_seconds * 1_000_000)).cast("long")
 
 
+#: Rows of one key that a window task should hold at most, on the key's busiest day.
+ROWS_PER_BUCKET = 1_000_000
+DAY = 86_400
+
+
+def bucket_width(df: DataFrame, keys: Sequence[str], ts: str, rows: int = ROWS_PER_BUCKET) -> int:
+    """Bucket width in seconds for windows over ``keys``: a day, or as much less as the busiest key needs so that none of
+    its buckets holds more than ``rows`` (a second at least). Counts over the keys and times decide, usually once."""
+    width = DAY
+    while width > 1:
+        busiest = df.groupBy(pack_key(keys).alias("_pk"), time_bucket(ts, width).alias("_b")).count().agg(F.max("count")).first()[0] or 0
+        if busiest <= rows:
+            break
+        width = max(1, width // math.ceil(busiest / rows))
+    return width
+
+
 def pack_key(cols: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 

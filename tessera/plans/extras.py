@@ -6,28 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
+from tessera.operators.pairing import ROWS_PER_BUCKET, bucket_width
 from tessera.operators.running import running_sum
 
 
 def leaderboard(moves: DataFrame) -> DataFrame:
     """On each snapped drop a player scores the groups it removed (at least 1); players are ranked per
-    puzzle by score. The window runs over per-(puzzle, player) aggregates, never over raw moves."""
+    puzzle by score. A rank is one more than the number of players with a higher score, and scores are few: the window
+    runs over per-(puzzle, score) counts, so a puzzle that holds most players is still a small window."""
     scores = (
         moves.filter((F.col("outcome") == "dropped") & F.col("snapped"))
         .groupBy("puzzle_id", "client_id")
         .agg(F.sum(F.greatest(F.col("merged_groups"), F.lit(1))).cast("long").alias("score"))
     )
-    w = Window.partitionBy("puzzle_id").orderBy(F.col("score").desc())
-    return scores.withColumn("rank", F.rank().over(w))
+    by_score = scores.groupBy(F.struct("puzzle_id").alias("in_puzzle"), "score").agg(F.count("*").alias("players"))
+    above = Window.partitionBy("in_puzzle").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = by_score.select("in_puzzle", "score", (F.coalesce(F.sum("players").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    return scores.withColumn("in_puzzle", F.struct("puzzle_id")).join(ranks, ["in_puzzle", "score"]).select("puzzle_id", "client_id", "score", "rank")
 
 
-def room_concurrency(events: DataFrame, bucket_seconds: int | None = 86400) -> DataFrame:
+def room_concurrency(events: DataFrame, bucket_seconds: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Players in the room after each join (+1) and leave (-1), as a running sum per room in event
-    order; computed per (room, time bucket) with a carried offset, so a busy room is not one task."""
+    order; computed per (room, time bucket) with a carried offset. Without a given width the buckets follow the busiest
+    room-day, so that a room that holds most of the log is spread over many tasks."""
     presence = events.filter(F.col("event_type").isin(*C.PRESENCE_EVENTS) & F.col("room_slug").isNotNull())
     delta = F.when(F.col("event_type") == C.PLAYER_JOINED, 1).otherwise(-1).cast("long")
     staged = presence.select("event_id", "room_slug", "occurred_at", "source_id", "event_type", delta.alias("delta"))
-    return running_sum(staged, ["room_slug"], ["occurred_at", "source_id"], "delta", "players_in_room", bucket_seconds)
+    width = bucket_seconds or bucket_width(staged, ["room_slug"], "occurred_at", rows_per_bucket)
+    return running_sum(staged, ["room_slug"], ["occurred_at", "source_id"], "delta", "players_in_room", width)
 
 
 def hold_timeouts(moves: DataFrame, events: DataFrame, timeout_ms: int = C.HOLD_TIMEOUT_MS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -21,9 +22,9 @@ class Model:
     dup_key: bool = False
     bucket_seconds: int | None = silver.DEFAULT_BUCKET_SECONDS
     # Silver stages read by many later plans are materialized:
-    #   "checkpoint" - reliable checkpoint in the session's checkpoint dir (the shared folder on a cluster):
-    #                  cuts the lineage, so later plans start from a leaf and analysis stays small, and a
-    #                  lost executor does not send Spark back to the raw log;
+    #   "checkpoint" - Parquet in the session's checkpoint dir (the shared folder on a cluster), read back: cuts the
+    #                  lineage, so that a lost executor does not send Spark back to the raw log, and later plans
+    #                  read only the columns and row groups they need;
     #   "persist"    - memory/disk cache (lineage kept);
     #   "none"       - fully lazy (one plan per query).
     materialize: str = "checkpoint"
@@ -36,8 +37,9 @@ class Model:
             df = build()
             if name in self.MATERIALIZED:
                 if self.materialize == "checkpoint":
-                    checkpoint_dir(self.spark)
-                    df = df.checkpoint(eager=True)
+                    path = f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}/{name}"
+                    df.write.parquet(path)
+                    df = self.spark.read.parquet(path)
                 elif self.materialize == "persist":
                     df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._cache[name] = df
@@ -122,9 +124,17 @@ class Model:
 _SHARED: dict[tuple, Model] = {}
 
 
+def _version(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder from another: bytes, files and time of change."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(p)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(p).getModificationTime()
+
+
 def shared_model(spark: SparkSession, sf_dir: str, dup_key: bool = False) -> Model:
-    """One persisted build per (application, input folder), shared by the registered queries."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dup_key)
+    """One build per (application, input folder and its state), shared by the registered queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _version(spark, f"{sf_dir.rstrip('/')}/events.parquet"), dup_key)
     model = _SHARED.get(key)
     if model is None:
         model = _SHARED[key] = Model(spark, sf_dir, dup_key=dup_key)

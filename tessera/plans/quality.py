@@ -57,11 +57,11 @@ def event_checks(bronze: DataFrame, events: DataFrame, now: Column | None = None
     t = silver.unionByName(bronze_ids).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in silver.columns])
     diff = F.col("rows") - F.col("bronze_ids")
     rows = [
-        _row(UNIQUE_EVENT_ID, "error", F.col("dup") == 0, F.col("dup"), "event_id values appearing more than once"),
+        _row(UNIQUE_EVENT_ID, "error", F.col("dup") == 0, F.col("dup"), "ids that several rows hold"),
         _row(REQUIRED_FIELDS, "error", F.col("missing") == 0, F.col("missing"),
-             "rows missing event_id, event_type or occurred_at"),
-        _row(NOT_IN_FUTURE, "error", F.col("late") == 0, F.col("late"), "events more than 10 minutes in the future"),
-        _row(RECONCILE, "error", diff == 0, diff, "silver rows minus distinct bronze event_ids"),
+             "rows without an id, a type or a time"),
+        _row(NOT_IN_FUTURE, "error", F.col("late") == 0, F.col("late"), "rows dated beyond the tolerated clock"),
+        _row(RECONCILE, "error", diff == 0, diff, "kept rows less extracted ids"),
     ]
     # All four rows from the one aggregate row (no re-evaluation per check).
     return t.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("c")).select("c.*")
@@ -102,11 +102,11 @@ def event_checks_incremental(old_bronze: DataFrame, new_bronze: DataFrame, old_e
     # silver rows - distinct bronze ids = (prior + inserted) - (prior + new ids not yet in bronze)
     diff = F.col("rows") - (F.col("new_ids") - F.col("known_ids"))
     rows = [
-        _row(UNIQUE_EVENT_ID, "error", F.col("dup") == 0, F.col("dup"), "event_id values appearing more than once"),
+        _row(UNIQUE_EVENT_ID, "error", F.col("dup") == 0, F.col("dup"), "ids that several rows hold"),
         _row(REQUIRED_FIELDS, "error", F.col("missing") == 0, F.col("missing"),
-             "rows missing event_id, event_type or occurred_at"),
-        _row(NOT_IN_FUTURE, "error", F.col("late") == 0, F.col("late"), "events more than 10 minutes in the future"),
-        _row(RECONCILE, "error", diff == 0, diff, "silver rows minus distinct bronze event_ids"),
+             "rows without an id, a type or a time"),
+        _row(NOT_IN_FUTURE, "error", F.col("late") == 0, F.col("late"), "rows dated beyond the tolerated clock"),
+        _row(RECONCILE, "error", diff == 0, diff, "kept rows less extracted ids"),
     ]
     return t.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("c")).select("c.*")
 
@@ -116,7 +116,7 @@ def puzzle_unique_check(f_puzzle: DataFrame) -> DataFrame:
     dup = f_puzzle.groupBy("puzzle_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("dup")
     )
-    return dup.select(*_row(UNIQUE_PUZZLE, "error", F.col("dup") == 0, F.col("dup"), "duplicate puzzle_id in fact_puzzle"))
+    return dup.select(*_row(UNIQUE_PUZZLE, "error", F.col("dup") == 0, F.col("dup"), "puzzles with several fact rows"))
 
 
 def open_moves_in_finished_sessions(moves: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def moves_resolved_check(moves: DataFrame, sessions: DataFrame) -> DataFrame:
     counts = open_moves_in_finished_sessions(moves, sessions)
     share = ratio_half_up("pairs", F.greatest(F.col("moves"), F.lit(1)), 5)
     return counts.select(*_row(MOVES_RESOLVED, "warn", share <= MOVES_RESOLVED_MAX, share,
-                               "share of grabs never dropped although the player left"))
+                               "open grabs of ended visits, per grab"))
 
 
 def merge_count_check(f_puzzle: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def merge_count_check(f_puzzle: DataFrame) -> DataFrame:
     )
     share = F.coalesce(ratio_half_up("wrong", "tracked", 5), F.lit(0.0))
     return counts.select(*_row(MERGE_COUNT, "warn", share <= MERGE_COUNT_MAX, share,
-                               "completed puzzles whose merges != pieces - 1"))
+                               "finished puzzles whose merges are not one less than their pieces, per finished puzzle"))
 
 
 def run_checks(bronze: DataFrame, events: DataFrame, moves: DataFrame, sessions: DataFrame, f_puzzle: DataFrame,

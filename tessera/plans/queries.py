@@ -151,19 +151,19 @@ from tessera.plans import quality as Q  # noqa: E402
 _Q_SQL = f"""
 SELECT * FROM (
   SELECT '{Q.UNIQUE_EVENT_ID}' AS name, 'error' AS severity, dup = 0 AS passed, CAST(dup AS DOUBLE) AS value,
-         'event_id values appearing more than once' AS detail FROM qt
+         'ids that several rows hold' AS detail FROM qt
   UNION ALL SELECT '{Q.REQUIRED_FIELDS}', 'error', missing = 0, CAST(missing AS DOUBLE),
-         'rows missing event_id, event_type or occurred_at' FROM qt
+         'rows without an id, a type or a time' FROM qt
   UNION ALL SELECT '{Q.NOT_IN_FUTURE}', 'error', late = 0, CAST(late AS DOUBLE),
-         'events more than 10 minutes in the future' FROM qt
+         'rows dated beyond the tolerated clock' FROM qt
   UNION ALL SELECT '{Q.RECONCILE}', 'error', rows_ = bronze_ids, CAST(rows_ - bronze_ids AS DOUBLE),
-         'silver rows minus distinct bronze event_ids' FROM qt
-  UNION ALL SELECT '{Q.UNIQUE_PUZZLE}', 'error', dup = 0, CAST(dup AS DOUBLE), 'duplicate puzzle_id in fact_puzzle'
+         'kept rows less extracted ids' FROM qt
+  UNION ALL SELECT '{Q.UNIQUE_PUZZLE}', 'error', dup = 0, CAST(dup AS DOUBLE), 'puzzles with several fact rows'
     FROM (SELECT count(*) FILTER (WHERE n > 1) AS dup FROM (SELECT puzzle_id, count(*) AS n FROM fact_puzzle GROUP BY puzzle_id))
   UNION ALL SELECT '{Q.MOVES_RESOLVED}', 'warn', share <= {Q.MOVES_RESOLVED_MAX}, share,
-         'share of grabs never dropped although the player left' FROM qmr
+         'open grabs of ended visits, per grab' FROM qmr
   UNION ALL SELECT '{Q.MERGE_COUNT}', 'warn', share <= {Q.MERGE_COUNT_MAX}, share,
-         'completed puzzles whose merges != pieces - 1' FROM qmc)"""
+         'finished puzzles whose merges are not one less than their pieces, per finished puzzle' FROM qmc)"""
 
 O.cte("qt", ["silver", "bronze", "log_now"], """
 SELECT coalesce(sum(CAST(n > 1 AS BIGINT)), 0) AS dup, coalesce(sum(n), 0) AS rows_,

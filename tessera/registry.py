@@ -1,7 +1,7 @@
 """Name -> Spark query (spark, sf_dir) -> DataFrame, and name -> oracle SQL. Consumed by __spark_entry__.py.
 
-Every query reads the driver's tables through the adapter and rebuilds the lineage it needs lazily, so
-Catalyst sees (and prunes) the whole plan.
+Every query reads the driver's tables through the adapter. The silver stages that many queries share are built once for
+each input folder and kept as Parquet in the checkpoint folder; everything above them is one lazy plan.
 """
 
 from __future__ import annotations

@@ -50,8 +50,8 @@ class ParquetEventSource:
 
 @dataclass
 class JdbcEventSource:
-    """A relational ``analytics_events`` table. Reads push the id range into the query and split it into
-    ``num_partitions`` id ranges read in parallel."""
+    """A relational event table. Each of ``num_partitions`` tasks asks the database for its own id range, which the
+    database answers from the key's index."""
 
     spark: SparkSession
     url: str
@@ -61,18 +61,20 @@ class JdbcEventSource:
     fetch_size: int = 10_000
 
     def max_id(self) -> int:
-        q = f"(SELECT coalesce(max(id), 0) AS max_id FROM {self.table}) t"
-        return int(self.spark.read.jdbc(self.url, q, properties=self.properties).first()[0])
+        """The database computes the maximum; an empty table has none."""
+        top = self.spark.read.format("jdbc").options(url=self.url, query=f"SELECT max(id) AS top FROM {self.table}", **self.properties).load()
+        return int(top.first()[0] or 0)
+
+    def ranges(self, after: int, up_to: int) -> list[str]:
+        """Conditions that cut (after, up_to] into even id ranges, none of them empty unless the whole is."""
+        n = max(1, min(self.num_partitions, up_to - after))
+        edges = [after + (up_to - after) * k // n for k in range(n + 1)]
+        return [f"id > {lo} AND id <= {hi}" for lo, hi in zip(edges, edges[1:])]
 
     def read(self, after: int, up_to: int) -> DataFrame:
-        cols = ", ".join(BRONZE_COLUMNS)
-        q = f"(SELECT {cols} FROM {self.table} WHERE id > {int(after)} AND id <= {int(up_to)}) src"
-        df = self.spark.read.jdbc(
-            self.url, q, column="id", lowerBound=after + 1, upperBound=max(up_to, after) + 1,
-            numPartitions=self.num_partitions, properties={**self.properties, "fetchsize": str(self.fetch_size)},
-        )
-        # Databases fold unquoted names to their own case; the selected order is fixed, so rename by position.
-        return df.toDF(*BRONZE_COLUMNS)
+        """S2, in the bronze columns; databases fold unquoted names to their own case, so columns are found without it."""
+        rows = self.spark.read.jdbc(self.url, self.table, predicates=self.ranges(int(after), int(up_to)), properties={**self.properties, "fetchsize": str(self.fetch_size)})
+        return rows.select(*[F.col(c).alias(c) for c in BRONZE_COLUMNS])
 
 
 def with_bronze_metadata(df: DataFrame, run_id: int, extracted_at: Column | None = None) -> DataFrame:

@@ -152,10 +152,10 @@ class Lake:
         """Write ``df`` as a new segment; ``mode`` overwrite replaces the table's segment list at
         commit, append adds to it."""
         path = self._new_segment(layer, name, tag)
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-        writer.parquet(path)
+        folders = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+        # dealt by folder, so that a task does not open a file in each; Spark splits a folder that is too large for one
+        dealt = df.hint("rebalance", *folders) if folders else df
+        dealt.write.mode("errorifexists").partitionBy(*folders).parquet(path)
         key = f"{layer}/{name}"
         if self._base is None:
             self.begin()

@@ -40,3 +40,17 @@ def test_job_from_jdbc_equals_job_from_parquet(spark, tmp_path):
     for n in ["fact_session", "fact_move", "agg_daily_activity"]:
         x, y = Lake(spark, a).read("gold", n), Lake(spark, b).read("gold", n)
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_job_from_arguments_reads_a_database(spark, tmp_path):
+    url = _derby_with_events(spark)
+    argv = ["--jdbc-url", url, "--jdbc-property", f"driver={DRIVER['driver']}", "--partitions", "3", "--lake", str(tmp_path / "lake"), "--full-refresh"]
+    assert refresh.main(argv) == 0
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert lake.manifest()["meta"]["watermark"] == 1000 and lake.read("gold", "fact_move").count() > 0
+
+
+def test_id_ranges():
+    src = JdbcEventSource(None, "jdbc:x", num_partitions=4)
+    assert src.ranges(0, 8) == ["id > 0 AND id <= 2", "id > 2 AND id <= 4", "id > 4 AND id <= 6", "id > 6 AND id <= 8"]
+    assert src.ranges(5, 7) == ["id > 5 AND id <= 6", "id > 6 AND id <= 7"] and src.ranges(5, 5) == ["id > 5 AND id <= 5"]
