@@ -220,7 +220,7 @@ def benchmark(spark):
     return own.union(extra)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100_000])
 def test_decontamination(documents, odd, benchmark, block_bytes):
     items = [tuple(r) for r in benchmark.collect()]
     for df in (documents, odd):
