@@ -6,11 +6,16 @@ such a span. The corpus tells how strongly a term reveals it: over all lines of
 that hold the entity, n(t) that hold the term and n(e, t) that hold both, the entity's information is
 IC(e) = log2(n / n(e)), and the term discloses PMI(e, t) = log2(n * n(e, t) / (n(e) * n(t))) of it. A term that stands in
 one line with an entity and discloses at least ``GENERALISE`` of IC(e) is replaced by its word class, from ``REMOVE`` on
-it is removed. Only terms that meet the entity in at least ``MIN_SUPPORT`` different lines are judged: a line that occurs
-again in copies tells nothing new.
+it is removed. Few lines are weak evidence, so a term is judged as soon as its lines show with ``CONFIDENCE`` that it
+discloses that much: PMI / IC >= g says that the entity stands in at least q = (n(e) / n) ** (1 - g) of the term's lines, and
+a share of k in m lines is above q by more than chance if exp(-m * KL(k / m || q)) <= 1 - ``CONFIDENCE`` (Chernoff; for k = m
+that is the exact binomial bound). k counts independent lines, and m is scaled with it: a line that occurs again in copies
+tells nothing new, and neither does another line of the same text, which repeats its own rare words. One line is
+enough where the entity carries log2(1 / (1 - ``CONFIDENCE``)) / (1 - g) bits (13.3, an entity in one of 10 000 lines), lines
+of two texts are from half as many bits on.
 
-Lines are split at ``\\n``; no pattern reaches over one. Terms are runs of digits, Latin letters and non-ASCII characters
-of three characters or more, without case. Offsets are code points.
+Lines are split at ``\\n``; no pattern reaches over one. Terms are runs of digits, Latin letters and non-ASCII characters,
+without case; a term of ASCII characters alone has at least three of them. Offsets are code points.
 
 The patterns are written with possessive repetition, which gives the same matches as the plain form and runs in linear
 time without recursion, whatever the text.
@@ -25,6 +30,8 @@ that overlap are reported each, and replaced as one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +39,8 @@ from tessera.llm import common as C
 
 GENERALISE = 0.75
 REMOVE = 0.95
-MIN_SUPPORT = 3
-MIN_TERM_CHARS = 3
+CONFIDENCE = 0.9
+MIN_ASCII_CHARS = 3
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -114,9 +121,13 @@ def _text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _is_term(word: Column) -> Column:
+    return (F.length(word) >= MIN_ASCII_CHARS) | (F.octet_length(word) > F.length(word))
+
+
 def _terms(text: Column) -> Column:
     words = F.split(F.lower(text), _NOT_WORD, -1)
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= MIN_TERM_CHARS))
+    return F.array_distinct(F.filter(words, _is_term))
 
 
 def entity_lines(docs: DataFrame, text_col: str) -> DataFrame:
@@ -138,26 +149,34 @@ def entity_lines(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, lines: DataFrame, text_col: str = "text", generalise: float = GENERALISE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, disclosed) of the terms that disclose at least ``generalise`` of an entity. ``lines`` is
+def disclosing_terms(docs: DataFrame, lines: DataFrame, text_col: str = "text", generalise: float = GENERALISE, confidence: float = CONFIDENCE) -> DataFrame:
+    """(entity, term, disclosed) of the terms that disclose at least ``generalise`` of an entity with ``confidence``. ``lines`` is
     ``entity_lines(docs)``, computed once."""
     once = lines.select("text_key", "line_no", "line", "masked", "entity")
     # a line may hold an entity twice; copies of a text are one key with several rows, counted as often as they occur
-    shows = once.groupBy("entity", F.xxhash64("line").alias("line_id"), "masked").agg(F.count(F.lit(1)).alias("rows"), F.max(_times(F.col("line"), F.col("entity"))).alias("times"))
-    shows = shows.select("entity", "line_id", "masked", F.ceil(F.col("rows") / F.greatest(F.col("times"), F.lit(1))).cast("long").alias("n"))
+    shows = once.groupBy("entity", F.xxhash64("line").alias("line_id"), "masked").agg(F.count(F.lit(1)).alias("rows"), F.max(_times(F.col("line"), F.col("entity"))).alias("times"), F.min(F.xxhash64("text_key")).alias("in_text"))
+    shows = shows.select("entity", "in_text", "masked", F.ceil(F.col("rows") / F.greatest(F.col("times"), F.lit(1))).cast("long").alias("n"))
     n_entity = shows.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    joint = shows.select("entity", "line_id", "n", F.explode(_terms(F.col("masked"))).alias("term")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_joint"), F.countDistinct("line_id").alias("support"),
-    ).where(F.col("support") >= min_support)
+    joint = shows.select("entity", "in_text", "n", F.explode(_terms(F.col("masked"))).alias("term")).groupBy("entity", "term").agg(
+        F.sum("n").alias("n_joint"), F.countDistinct("in_text").alias("support"),
+    )
     all_lines = docs.select(F.explode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("line"))
     n_term = all_lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = all_lines.where(F.col("line").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).count()
     n = F.lit(float(max(total, 1)))
-    scored = joint.join(n_entity, "entity").join(n_term, "term").select(
-        "entity", "term",
-        (F.log2(n * F.col("n_joint") / (F.col("n_entity") * F.greatest("n_term", "n_joint"))) / F.log2(n / F.col("n_entity"))).alias("disclosed"),
+    # an entity that stands in every line carries no information
+    counts = joint.join(n_entity.where(F.col("n_entity") < n), "entity").join(n_term, "term").select(
+        "entity", "term", "support", (F.col("n_joint") / F.greatest("n_term", "n_joint")).alias("seen"), (F.col("n_entity") / n).alias("p_entity"),
     )
-    return scored.where(F.col("disclosed") >= generalise)
+    told = counts.select("entity", "term", "support", "seen", "p_entity", (1 - F.log2("seen") / F.log2("p_entity")).alias("disclosed"))
+    return told.where((F.col("disclosed") >= generalise) & (_evidence(generalise) >= -math.log(1 - confidence))).select("entity", "term", "disclosed")
+
+
+def _evidence(generalise: float) -> Column:
+    """m * KL(seen || q) of the module's text, with m = support / seen. Where ``seen`` is 1 the second part is 0."""
+    seen, ln_q = F.col("seen"), F.ln("p_entity") * (1 - generalise)
+    rest = F.when(seen < 1, (1 - seen) * (F.ln(1 - seen) - F.ln(1 - F.exp(ln_q)))).otherwise(0.0)
+    return F.col("support") / seen * (seen * (F.ln(seen) - ln_q) + rest)
 
 
 def _times(line: Column, entity: Column) -> Column:
@@ -174,11 +193,11 @@ def _entity_of(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), _digits(value) if kind in ("card", "phone") else F.lower(value))
 
 
-def term_spans(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_support: int = MIN_SUPPORT) -> DataFrame:
+def term_spans(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, confidence: float = CONFIDENCE) -> DataFrame:
     """(text_key, terms): by text, the spans of its disclosing terms, as ``with_spans`` has them; kind ``term``, value the
     replacement."""
     lines = C.cut(entity_lines(docs, text_col))
-    told = disclosing_terms(docs, lines, text_col, generalise, min_support)
+    told = disclosing_terms(docs, lines, text_col, generalise, confidence)
     hit = lines.select("text_key", "line_no", "line_start", "masked", "line", "entity").distinct().join(told, "entity")
     by_line = hit.groupBy("text_key", "line_no").agg(
         F.first("line").alias("line"), F.first("line_start").alias("line_start"), F.collect_list(F.struct("term", "disclosed")).alias("told"),

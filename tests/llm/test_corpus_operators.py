@@ -105,6 +105,32 @@ def test_one_line_in_many_copies_is_no_support(spark):
     assert pii.digest(docs).where("spans like '%term%'").count() == 0
 
 
+def rare(spark, n_lines, told):
+    """``n_lines`` lines of common words, thirty to a text, and a text for each line of ``told``."""
+    lines = [f"common words and number {k % 7} stand in every line here, 王 too" for k in range(n_lines)]
+    texts = ["\n".join(lines[k : k + 30]) for k in range(0, n_lines, 30)] + told
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), range(len(texts) - len(told), len(texts))
+
+
+def found_terms(docs, at):
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in pii.digest(docs).collect()}
+    assert not [i for i in spans if i not in at and spans[i]]
+    return [{rows[i][int(a) : int(b)] for k, a, b in spans[i] if k == "term"} for i in at]
+
+
+def test_terms_of_entities_in_one_or_two_lines(spark):
+    one = "common words, Zorblax 李 and 王 here, zed@mail.example.com"
+    two = ["common words, Quuxo wrote here, 10.0.0.1", "common words, Quuxo went here, 10.0.0.1"]
+    assert found_terms(*rare(spark, 12_000, [one])) == [{"Zorblax", "李"}]
+    assert found_terms(*rare(spark, 2_000, [one])) == [set()]  # one line of 2 000 could be chance
+    assert found_terms(*rare(spark, 2_000, two)) == [{"Quuxo"}, {"Quuxo"}]
+
+
+def test_entity_in_every_line(spark):
+    assert found_terms(*rare(spark, 0, ["Zorblax wrote, 10.0.0.1"])) == [set()]
+
+
 def test_pii_digest_and_odd_rows(documents, odd, none):
     for df in (documents, odd):
         got = pii.digest(df).collect()
