@@ -2,7 +2,10 @@
 
 The markup is stripped into lines, one for each block of the page. Every line gets a length: the characters of its text
 outside links; lines of page furniture (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments)
-have length 0, and so have lines outside the article where the page marks one. Lengths are summed over sliding windows of
+have length 0, and so have lines outside the article where the page marks one. A class or id names furniture if it is one of
+the known names, or a phrase of them and of words for places (``site-footer``); ``has-sidebar`` or ``related-work`` is none.
+Names don't count on headings and paragraphs of a marked article, nor ids on them and on sections of a main part, where they
+are slugs of titles, nor on an element that holds the page's only article, unless there is more text outside it. Lengths are summed over sliding windows of
 ``WINDOW`` lines. A window sum of ``SURGE`` or more (or the page's largest, if that is less) that starts at a line of
 some length is a surge point; the window sum 0
 after it is a dive point. The lines of some length between the two are the text. In a marked article every line counts
@@ -39,26 +42,38 @@ _CLOSES = {
 }
 #: Blocks that end an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
-#: Parts of class and id names that mark furniture.
+#: Class and id names that mark furniture, and words that may stand beside them in a phrase.
 _FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies copyright disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay "
     "pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skyscraper social sponsor sponsored "
     "subscribe subscription toolbar topbar trending widget widgets alert form search".split()
 )
+_PLACES = frozenset("site page global main primary secondary top bottom box bar area list block links link section container wrapper wrap posts articles item items form".split())
 _ARTICLE_NAMES = frozenset("article articlebody entry post story".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _MARKUP = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> str:
-    """furniture, article (marked), main, or plain."""
+def _names_furniture(value: str, in_article: bool) -> bool:
+    """Whether one of the names of a class or id is a furniture name or phrase. An article has headers of its own."""
+    for name in value.split():
+        parts = {w.lower() for w in _WORDS.findall(name)}
+        known = parts & _FURNITURE_NAMES
+        if (name.lower() in _FURNITURE_NAMES or known and parts <= _FURNITURE_NAMES | _PLACES) and not (in_article and known == {"header"}):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str, in_article: bool, in_main: bool = False) -> str:
+    """furniture, named (furniture by its class or id), article (marked), main, or plain."""
     if tag in _FURNITURE or tag == "header" and not in_article:
         return "furniture"
-    found = ""
+    found, named = "", False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
@@ -69,22 +84,22 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return "furniture"
             elif name in ("class", "id"):
+                slug = in_article and tag in _HEADINGS or name == "id" and (in_article or in_main) and (tag in _HEADINGS or tag == "section")
+                named = named or tag not in ("body", "html", "main") and not slug and _names_furniture(value, in_article)
                 parts = {w.lower() for w in _WORDS.findall(value)}
-                if parts & _FURNITURE_NAMES and tag not in ("body", "html", "main"):
-                    return "furniture"
                 if parts & _ARTICLE_NAMES and tag in ("div", "section"):
                     found = found or "main"
             elif name == "itemprop" and value.lower() == "articlebody":
                 found = "article"
-    return "article" if tag == "article" else found or ("main" if tag == "main" else "")
+    return "named" if named else "article" if tag == "article" else found or ("main" if tag == "main" else "")
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
+def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int]]:
     """(text, characters outside links or 0 for furniture, level) of every line with text; level 2: in a marked
-    article, 1: in the main part, 0: elsewhere."""
+    article, 1: in the main part, 0: elsewhere. With ``holders``, named furniture that holds an article is none."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, str]] = []
-    counts = {"furniture": 0, "article": 0, "main": 0, "a": 0}
+    counts = {"furniture": 0, "named": 0, "article": 0, "main": 0, "a": 0}
     pieces: list[str] = []
     plain: list[str] = []
     at, n = 0, len(page)
@@ -99,7 +114,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if pieces:
             line = " ".join(html.unescape("".join(pieces)).split())
             if line:
-                size = 0 if counts["furniture"] else len("".join(html.unescape("".join(plain)).split()))
+                size = 0 if counts["furniture"] or counts["named"] else len("".join(html.unescape("".join(plain)).split()))
                 out.append((line, size, 2 if counts["article"] else 1 if counts["main"] else 0))
             pieces.clear()
             plain.clear()
@@ -150,8 +165,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             closes = _CLOSES.get(tag) or ({"p"} if tag in _ENDS_P else ())
             if closes:
                 _close(stack, closes, pop)
-            kind = _kind(tag, attributes, counts["article"] > 0)
-            if kind == "furniture" and tag in _INLINE:
+            kind = _kind(tag, attributes, counts["article"] > 0, counts["main"] > 0)
+            if holders and kind == "article" and counts["named"]:
+                stack[:] = [(t, "" if k == "named" else k) for t, k in stack]
+                counts["named"] = 0
+            if kind in ("furniture", "named") and tag in _INLINE:
                 flush()
             push(tag, kind)
     flush()
@@ -168,8 +186,17 @@ def _close(stack, tags, pop) -> None:
             pop()
 
 
+def _marked(page: str) -> list[tuple[str, int, int]]:
+    """The page's lines. Where no article is outside furniture, one in named furniture counts, if it has most of the text."""
+    lines = lines_of(page)
+    if any(lv == 2 and size for _, size, lv in lines) or not any(lv == 2 for _, _, lv in lines):
+        return lines
+    again = lines_of(page, holders=True)
+    return again if sum(size for _, size, lv in again if lv == 2) > sum(size for _, size, _ in lines) else lines
+
+
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
+    lines = _marked(page or "")
     level = max((lv for _, size, lv in lines if size), default=0)
     lengths = [(size + SURGE * (level > 0)) if size and lv == level else 0 for _, size, lv in lines]
     n = len(lengths)

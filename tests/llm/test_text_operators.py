@@ -190,6 +190,22 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{LONG}</article></div>", LONG.strip()),
+        (f"<div id='page' class='no-comments'><p>{LONG}</div><div class='site-footer'>{LONG}</div>", LONG.strip()),
+        (f"<div class='sidebar'><article><p>{LONG}</article></div><p>Short.", LONG.strip()),
+        (f"<div class='sidebar'><article><p>Short.</article></div><p>{LONG}", LONG.strip()),
+        (f"<article><p>{LONG}</article><div id='comments'><article><p>{LONG}{LONG}</article></div>", LONG.strip()),
+        ("<article><h2 id='related-work'>A</h2><section id='social-impact'>B</section><h2 id='notice-period'>C</h2><p id='search'>D</p></article>", "A\nB\nC\nD"),
+        ("<article><div class='header'><h1 class='alert'>A</h1></div><section id='notice'><p>B</section><div class='related-posts'>C</div></article>", "A\nB"),
+    ],
+)
+def test_html_names(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_odd_rows(odd, none):
     got = html_text.extract(odd, ["doc_id", "kept"], html_col="text")
     assert got.count() == 9 and html_text.extract(none, ["doc_id"], html_col="text").count() == 0
