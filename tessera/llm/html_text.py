@@ -1,15 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped into lines, one for each block of the page. Every line gets a length: the characters of its text
-outside links; lines of page furniture (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments)
+The markup is stripped into lines, one for each block of the page. Every line gets a length: the characters of its text,
+outside links where no article or main part is marked; lines of page furniture (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments)
 have length 0, and so have lines outside the article where the page marks one. A class or id names furniture if it is one of
 the known names, or a phrase of them and of words for places (``site-footer``); ``has-sidebar`` or ``related-work`` is none.
 Names don't count on headings and paragraphs of a marked article, nor ids on them and on sections of a main part, where they
 are slugs of titles, nor on an element that holds the page's only article, unless there is more text outside it. Lengths are summed over sliding windows of
 ``WINDOW`` lines. A window sum of ``SURGE`` or more (or the page's largest, if that is less) that starts at a line of
 some length is a surge point; the window sum 0
-after it is a dive point. The lines of some length between the two are the text. In a marked article every line counts
-``SURGE`` more, so that short articles surge too.
+after it is a dive point. All lines but furniture between the first surge and the last dive are the text, lines that are one
+link included. In a marked article or main part every line counts ``SURGE`` more, so that short articles surge too.
 
 Defined cases: null and empty pages have the empty text; broken markup is read as far as it goes (an unclosed comment,
 script or tag reaches to the end of the page); character references are decoded once, after the markup is gone, also
@@ -94,10 +94,10 @@ def _kind(tag: str, attributes: str, in_article: bool, in_main: bool = False) ->
     return "named" if named else "article" if tag == "article" else found or ("main" if tag == "main" else "")
 
 
-def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int]]:
-    """(text, characters outside links or 0 for furniture, level) of every line with text; level 2: in a marked
+def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int, int]]:
+    """(text, characters or 0 for furniture, those outside links, level) of every line with text; level 2: in a marked
     article, 1: in the main part, 0: elsewhere. With ``holders``, named furniture that holds an article is none."""
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, str]] = []
     counts = {"furniture": 0, "named": 0, "article": 0, "main": 0, "a": 0}
     pieces: list[str] = []
@@ -114,8 +114,9 @@ def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int]]:
         if pieces:
             line = " ".join(html.unescape("".join(pieces)).split())
             if line:
-                size = 0 if counts["furniture"] or counts["named"] else len("".join(html.unescape("".join(plain)).split()))
-                out.append((line, size, 2 if counts["article"] else 1 if counts["main"] else 0))
+                shown = not (counts["furniture"] or counts["named"])
+                size, free = (len("".join(html.unescape("".join(p)).split())) if shown else 0 for p in (pieces, plain))
+                out.append((line, size, free, 2 if counts["article"] else 1 if counts["main"] else 0))
             pieces.clear()
             plain.clear()
 
@@ -186,31 +187,25 @@ def _close(stack, tags, pop) -> None:
             pop()
 
 
-def _marked(page: str) -> list[tuple[str, int, int]]:
+def _marked(page: str) -> list[tuple[str, int, int, int]]:
     """The page's lines. Where no article is outside furniture, one in named furniture counts, if it has most of the text."""
     lines = lines_of(page)
-    if any(lv == 2 and size for _, size, lv in lines) or not any(lv == 2 for _, _, lv in lines):
+    if any(lv == 2 and size for _, size, _, lv in lines) or not any(lv == 2 for *_, lv in lines):
         return lines
     again = lines_of(page, holders=True)
-    return again if sum(size for _, size, lv in again if lv == 2) > sum(size for _, size, _ in lines) else lines
+    return again if sum(size for _, size, _, lv in again if lv == 2) > sum(size for _, size, _, _ in lines) else lines
 
 
 def main_text(page: str | None) -> str:
     lines = _marked(page or "")
-    level = max((lv for _, size, lv in lines if size), default=0)
-    lengths = [(size + SURGE * (level > 0)) if size and lv == level else 0 for _, size, lv in lines]
+    level = max((lv for _, size, _, lv in lines if size), default=0)
+    lengths = [(size + SURGE if level else free) if size and lv == level else 0 for _, size, free, lv in lines]
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
     surge = min(SURGE, max(sums, default=0))
-    kept, i = [], 0
-    while i < n:
-        if lengths[i] and sums[i] >= surge:  # surge
-            while i < n and sums[i]:  # up to the dive
-                if lengths[i]:
-                    kept.append(lines[i][0])
-                i += 1
-        i += 1
-    return "\n".join(kept)
+    first = next((i for i in range(n) if lengths[i] and sums[i] >= surge), n)
+    last = max((i for i in range(n) if lengths[i]), default=-1)  # before the last dive
+    return "\n".join(line for line, size, _, lv in lines[first : last + 1] if size and lv == level)
 
 
 def extract(pages: DataFrame, id_cols: list[str], html_col: str = "html", out_col: str = "text") -> DataFrame:

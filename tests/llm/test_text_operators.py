@@ -206,6 +206,20 @@ def test_html_names(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<a href=x>Home</a><article><h1><a href=x>T</a></h1><p><a href=x>One link</a><p>x<ul><li><a href=x>L</a></ul></article>", "T\nOne link\nx\nL"),
+        (f"<main><h2><a href=x>T</a></h2><p>{LONG}</main><p><a href=x>{LONG}</a>", f"T\n{LONG.strip()}"),
+        (f"<p>{LONG}<div class=ad><p>a<p>b<p>c</div><p>The end.", f"{LONG.strip()}\nThe end."),
+        (f"<ul><li><a href=x>Home</a></ul><p>{LONG}<p><a href=x>One link</a><p>The end.<p><a href=x>Imprint</a>", f"{LONG.strip()}\nOne link\nThe end."),
+        ("<p><a href=x>Home</a>", ""),
+    ],
+)
+def test_html_links_and_short_ends(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_odd_rows(odd, none):
     got = html_text.extract(odd, ["doc_id", "kept"], html_col="text")
     assert got.count() == 9 and html_text.extract(none, ["doc_id"], html_col="text").count() == 0
