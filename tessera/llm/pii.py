@@ -198,21 +198,22 @@ def term_spans(docs: DataFrame, text_col: str = "text", generalise: float = GENE
     replacement."""
     lines = C.cut(entity_lines(docs, text_col))
     told = disclosing_terms(docs, lines, text_col, generalise, confidence)
-    hit = lines.select("text_key", "line_no", "line_start", "masked", "line", "entity").distinct().join(told, "entity")
-    by_line = hit.groupBy("text_key", "line_no").agg(
-        F.first("line").alias("line"), F.first("line_start").alias("line_start"), F.collect_list(F.struct("term", "disclosed")).alias("told"),
+    # a line's own words meet the terms, so that there are never more rows than words in the entities' lines
+    words = lines.select("text_key", "line_no", "line_start", "line", "entity").distinct().select(
+        "text_key", "line_start", "entity", F.explode(F.filter(found(F.col("line"), _WORD), lambda w: _is_term(w["value"]))).alias("w"),
+    ).select(
+        "text_key", "entity", F.lower("w.value").alias("term"), (F.col("line_start") + F.col("w.start")).alias("start"),
+        (F.col("line_start") + F.col("w.end")).alias("end"),
     )
-    words = by_line.select("text_key", "line_start", "told", F.explode(found(F.col("line"), _WORD)).alias("w"))
-    share = F.array_max(F.transform(F.filter("told", lambda t: t["term"] == F.lower(F.col("w.value"))), lambda t: t["disclosed"]))
-    klass = F.when(F.col("w.value").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
-    spans = words.select("text_key", "line_start", "w", share.alias("share")).where(F.col("share").isNotNull()).select(
+    hit = words.join(told, ["entity", "term"]).groupBy("text_key", "start", "end", "term").agg(F.max("disclosed").alias("share"))
+    klass = F.when(F.col("term").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
+    spans = hit.select(
         "text_key",
         F.struct(
-            (F.col("line_start") + F.col("w.start")).alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"),
-            (F.col("line_start") + F.col("w.end")).alias("end"), F.when(F.col("share") >= remove, "").otherwise(klass).alias("value"),
+            "start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", F.when(F.col("share") >= remove, "").otherwise(klass).alias("value"),
         ).alias("s"),
     )
-    return spans.groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    return spans.groupBy("text_key").agg(F.array_sort(F.collect_list("s")).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:

@@ -131,6 +131,22 @@ def test_entity_in_every_line(spark):
     assert found_terms(*rare(spark, 0, ["Zorblax wrote, 10.0.0.1"])) == [set()]
 
 
+def test_words_not_terms_meet_a_line(spark, monkeypatch):
+    """An entity in 300 lines that each have a term of their own: 300 rows meet, not 300 x 300."""
+    told = [f"common words, zork{k} wrote here, 10.0.0.1" for k in range(300)]
+    docs, at = rare(spark, 0, told)
+    terms = spark.createDataFrame([("ip:10.0.0.1", f"zork{k}", 1.0) for k in range(300)], "entity string, term string, disclosed double")
+    monkeypatch.setattr(pii, "disclosing_terms", lambda *_: terms)
+    spans = pii.term_spans(docs)
+    assert sum(len(r["terms"]) for r in spans.collect()) == 300
+    joins, todo = [], [spans._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        joins += [str(node.condition())] if node.nodeName() == "Join" else []
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert joins and all("term" in j for j in joins)
+
+
 def test_pii_digest_and_odd_rows(documents, odd, none):
     for df in (documents, odd):
         got = pii.digest(df).collect()
