@@ -60,3 +60,16 @@ reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a,
 groups AS (SELECT a AS class_id, min(b) AS group_id FROM reach GROUP BY a),
 links AS (SELECT a AS class_id, CAST(sum(size) AS BIGINT) AS linked FROM pairs GROUP BY a)
 SELECT doc_id, class_id, class_size, group_id, class_size - 1 + coalesce(linked, 0) AS n_links FROM classed JOIN groups USING (class_id) LEFT JOIN links USING (class_id)"""
+
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS words FROM documents),
+sizes AS (SELECT r, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+totals AS (SELECT count(*) AS docs, sum(n) AS terms FROM sizes),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM d) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY t),
+wanted AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({_FOLDED}) AS t FROM benchmark) GROUP BY i, item_id, t),
+scored AS (SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS score
+           FROM wanted JOIN weights USING (t) JOIN tf USING (t) JOIN sizes USING (r), totals GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 20"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, decontamination, html_text, jaccard_join, line_quality, oracles, pii, quality_qda, sharding, token_counts, toxicity
+from tessera.llm import (
+    bpe, common, decontamination, html_text, jaccard_join, lexical_search, line_quality, oracles, packing, pii, quality_qda, sharding, token_counts, toxicity, whitening,
+)
 from tessera.registry import register as _register
 
 
@@ -79,3 +81,18 @@ def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_ngram_jaccard", oracles.NGRAM_JACCARD)
 def q_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.links(common.table(spark, sf_dir, "documents"))
+
+
+@register("op11_bestfit_packing")
+def q_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@register("op12_lexical_search", oracles.LEXICAL_SEARCH)
+def q_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.digest(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_whitening")
+def q_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(common.table(spark, sf_dir, "embeddings"))
