@@ -77,9 +77,9 @@ def main() -> None:
         "stage_seconds_incremental": incr["counts"].get("stage_seconds"),
         "phase_seconds_full": full["counts"].get("phase_seconds"),
         "phase_seconds_incremental": incr["counts"].get("phase_seconds"),
-        "touched_sockets_incremental": incr["counts"].get("touched_sockets"),
-        "rebuilt_moves_incremental": incr["counts"].get("rebuilt_fact_move"),
-        "rebuilt_sessions_incremental": incr["counts"].get("rebuilt_fact_session"),
+        "changed_moves_incremental": incr["counts"].get("silver_changed_moves"),
+        "changed_sessions_incremental": incr["counts"].get("silver_changed_sessions"),
+        "changed_days_incremental": incr["counts"].get("changed_days"),
     }
     print(json.dumps(out))
     spark.stop()

@@ -62,7 +62,7 @@ class RunLog:
         return f"{self.root}/_runs"
 
     def table(self) -> DataFrame:
-        if not Lake(self.spark, self.root).path_exists(self.path):  # no run yet
+        if not Lake(self.spark, self.root).glob("_runs"):  # no run yet
             return self.spark.createDataFrame([], RUN_SCHEMA)
         return self.spark.read.schema(RUN_SCHEMA).parquet(self.path)
 

@@ -1,208 +1,82 @@
-"""Lake tables as Parquet directories plus one manifest that names the committed files of every table.
+"""Tables as plain Parquet run folders ``{root}/{layer}/{name}/run=<n>/`` and one pointer file that names the current run.
 
-Layout ``{root}/{layer}/{name}/{segment}/`` (S16). A table is the union of its committed segments:
-
-* append (bronze runs, silver merges) adds a segment;
-* overwrite (derived tables, full refresh) replaces the list with one new segment.
-
-Writers only create new directories; nothing is visible until ``commit`` replaces the manifest with one
-file rename, so every table of a run switches together and a failed run leaves the previous state whole
-(S4, S8). Paths go through the Hadoop FileSystem of the session, so the root may be a cluster path.
+A run writes its own folders; a retry after a failure has the same n and overwrites them. Replacing the pointer publishes all
+its tables and the watermark together (S4, S6, S8). A table of ``DAY`` has the newest folder of each day, one of ``LOGS`` all
+folders since the last full refresh, any other its newest folder. One job writes at a time; retention is the storage's.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
-from dataclasses import dataclass, field
+import re
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
-MANIFESTS = "_manifests"
-SEGMENT = "segment"
+LOGS = ("events",)
+DAY = {"moves": "event_date", "sessions": "event_date", "fact_move": "date_key", "fact_session": "date_key", "hours": "date_key", "agg_daily_activity": "date_key"}
+EMPTY = "__HIVE_DEFAULT_PARTITION__"
 
 
-@dataclass
 class Lake:
-    spark: SparkSession
-    root: str
-    _pending: dict[str, list[str]] = field(default_factory=dict)
-    _schemas: dict[str, str] = field(default_factory=dict)
-    _meta: dict = field(default_factory=dict)
-    _base: dict | None = None
-
-    # ---- filesystem helpers (Hadoop FS via the session) ----
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _read_text(self, path: str) -> str | None:
-        fs, p = self._fs(path)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            lines = []
-            line = reader.readLine()
-            while line is not None:
-                lines.append(line)
-                line = reader.readLine()
-            return "\n".join(lines)
-        finally:
-            stream.close()
-
-    def _write_text(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        out = fs.create(p, True)
-        try:
-            out.write(bytearray(text.encode("utf-8")))
-        finally:
-            out.close()
-
-    def _rename(self, src: str, dst: str) -> bool:
-        """Rename that never replaces an existing file (False if ``dst`` exists)."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        no_options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-        s, d = hadoop.Path(src), hadoop.Path(dst)
-        try:
-            hadoop.FileContext.getFileContext(s.toUri(), self.spark._jsc.hadoopConfiguration()).rename(s, d, no_options)
-        except Py4JJavaError as err:
-            if "FileAlreadyExists" in str(err.java_exception.getClass().getName()):
-                return False
-            raise
-        return True
-
-    # ---- manifest: numbered versions; the highest committed number is current ----
-    def path_exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return bool(fs.exists(p))
-
-    def _versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{MANIFESTS}")
-        if not fs.exists(p):
-            return []
-        names = [st.getPath().getName() for st in fs.listStatus(p)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def manifest(self) -> dict:
-        versions = self._versions()
-        if not versions:
-            return {"tables": {}, "meta": {}, "version": 0}
-        m = json.loads(self._read_text(f"{self.root}/{MANIFESTS}/{versions[-1]:020d}.json"))
-        m["version"] = versions[-1]
-        return m
-
-    def begin(self) -> dict:
-        """Starts a run: its reads see this version of the lake, and its commit must be the next one."""
-        self._base = self.manifest()
-        return self._base
-
-    def _seen(self) -> dict:
-        """The run's version of the lake; outside a run the latest."""
-        return self._base if self._base is not None else self.manifest()
-
-    def names(self, layer: str) -> list[str]:
-        """Committed tables of a layer."""
-        return sorted(k.split("/", 1)[1] for k, segs in self._seen()["tables"].items() if k.startswith(f"{layer}/") and segs)
-
-    def segments(self, layer: str, name: str) -> list[str]:
-        return self._seen()["tables"].get(f"{layer}/{name}", [])
-
-    def exists(self, layer: str, name: str) -> bool:
-        """A table is ready once a commit has named it."""
-        return bool(self.segments(layer, name))
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.writing, self.first = spark, root, 0, 1
+        self.written: set[str] = set()  # tables of this run; a failed run's folders of the same number are none
+        self.hadoop, self.conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def glob(self, pattern: str) -> list[str]:
+        path = self.hadoop.Path(f"{self.root}/{pattern}")
+        return [s.getPath().toString() for s in path.getFileSystem(self.conf).globStatus(path) or []]
+
+    def current(self) -> dict:
+        """The published pointer."""
+        path = self.hadoop.Path(f"{self.root}/_current")
+        return json.loads(path.getFileSystem(self.conf).open(path).readUTF()) if self.glob("_current") else {"run": 0, "first": 1, "watermark": 0}
+
+    def begin(self, full: bool = False) -> dict:
+        """Starts the run after the published one; from now on reads see what it has written."""
+        now = self.current()
+        self.writing, self.first = now["run"] + 1, now["run"] + 1 if full else now["first"]
+        return now
+
+    def publish(self, **values) -> None:
+        """Replaces the pointer by one rename."""
+        new, pointer, rename = self.hadoop.Path(f"{self.root}/_next"), self.hadoop.Path(f"{self.root}/_current"), getattr(self.hadoop, "Options$Rename")
+        out = new.getFileSystem(self.conf).create(new, True)
+        out.writeUTF(json.dumps({**values, "run": self.writing, "first": self.first}))
+        out.close()
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.hadoop.FileContext.getFileContext(new.toUri(), self.conf).rename(new, pointer, how)
+
+    def write(self, df: DataFrame, layer: str, name: str, by: str | None = None) -> DataFrame:
+        """This run's rows of a table, read back; ``by`` names the folders inside the run's (a day's, in tables of ``DAY``)."""
+        path, by = f"{self.root}/{layer}/{name}/run={self.writing}", DAY.get(name, by)
+        dealt = df.hint("rebalance", by) if by else df  # by folder, so that a task does not open a file in each
+        dealt.write.mode("overwrite").partitionBy(*[by] if by else []).parquet(path)
+        if by and not self.glob(f"{layer}/{name}/run={self.writing}/*=*"):  # a table without rows still has its columns
+            df.limit(0).drop(by).write.parquet(f"{path}/{by}={EMPTY}")
+        self.written.add(f"{layer}/{name}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def folders(self, layer: str, name: str) -> list[str]:
+        """The folders that make up a table as of this run, or as of the published one."""
+        now, newest = self.current(), {}
+        first, last = (self.first, self.writing - (f"{layer}/{name}" not in self.written)) if self.writing else (now["first"], now["run"])
+        for path in self.glob(f"{layer}/{name}/run=*" + "/*=*" * (name in DAY)):
+            run, folder = int(re.search(r"/run=(\d+)", path)[1]), path.rsplit("/", 1)[1]
+            part = folder if name in DAY or name in LOGS else ""
+            if first <= run <= last and run >= newest.get(part, (0, ""))[0]:
+                newest[part] = (run, path)
+        return [path for _, path in newest.values()]
 
     def read(self, layer: str, name: str) -> DataFrame | None:
-        """The committed segments of a table (None if it was never committed)."""
-        segs = self.segments(layer, name)
-        if not segs:
+        """The table, or None if no run has written it."""
+        if not (paths := self.folders(layer, name)):
             return None
-        return self.read_paths(layer, name, segs)
-
-    def read_paths(self, layer: str, name: str, segs: list[str]) -> DataFrame:
-        """Segments are ``segment=...`` directories, so all of them read as one relation (one scan with
-        partition discovery and pruning inside) and the ``segment`` column is dropped."""
-        key = f"{layer}/{name}"
-        known = self._schemas.get(key) or self._seen().get("schemas", {}).get(key)
-        reader = self.spark.read.option("basePath", f"{self.root}/{key}")
-        if known:  # a table without rows may have no file to take the schema from
-            reader = reader.schema(StructType.fromJson(json.loads(known)))
-        return reader.parquet(*segs).drop(SEGMENT)
-
-    def current(self, layer: str, name: str) -> DataFrame | None:
-        """The table as this run sees it: pending segments if written in this run, else committed."""
-        segs = self._pending.get(f"{layer}/{name}") or self.segments(layer, name)
-        return self.read_paths(layer, name, segs) if segs else None
-
-    def pending_segment(self, layer: str, name: str) -> DataFrame | None:
-        """The segment written last in this run (e.g. the rows one append added)."""
-        segs = self._pending.get(f"{layer}/{name}")
-        return self.read_paths(layer, name, segs[-1:]) if segs else None
-
-    # ---- writes (invisible until commit) ----
-    def _new_segment(self, layer: str, name: str, tag: str) -> str:
-        return f"{self.root}/{layer}/{name}/{SEGMENT}={tag}-{uuid.uuid4().hex[:8]}"
+        df = self.spark.read.option("basePath", f"{self.root}/{layer}/{name}").parquet(*paths).drop("run")
+        return df.select(*[F.col(c).cast({"event_date": "date", "date_key": "int"}[c]) if c in ("event_date", "date_key") else c for c in df.columns])
 
-    def write(self, df: DataFrame, layer: str, name: str, *, mode: str = "overwrite", tag: str = "v",
-              partition_by: str | list[str] | None = None) -> str:
-        """Write ``df`` as a new segment; ``mode`` overwrite replaces the table's segment list at
-        commit, append adds to it."""
-        path = self._new_segment(layer, name, tag)
-        folders = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-        # dealt by folder, so that a task does not open a file in each; Spark splits a folder that is too large for one
-        dealt = df.hint("rebalance", *folders) if folders else df
-        dealt.write.mode("errorifexists").partitionBy(*folders).parquet(path)
-        key = f"{layer}/{name}"
-        if self._base is None:
-            self.begin()
-        self._schemas[key] = df.schema.json()
-        current = self._pending.get(key, self.segments(layer, name))
-        self._pending[key] = [path] if mode == "overwrite" else [*current, path]
-        return path
-
-    def set_meta(self, **values) -> None:
-        self._meta.update(values)
-
-    def commit(self) -> int:
-        """One rename of a complete manifest to the number after the run's own version makes every pending table
-        (and metadata) visible together. If another commit has taken that number meanwhile, this one fails: its segment
-        lists were made from an older version and would drop the other's rows."""
-        base = self._base if self._base is not None else self.begin()
-        version = base["version"] + 1
-        m = {
-            "tables": {**base["tables"], **self._pending},
-            "schemas": {**base.get("schemas", {}), **self._schemas},
-            "meta": {**base["meta"], **self._meta},
-        }
-        tmp = f"{self.root}/{MANIFESTS}/.tmp-{uuid.uuid4().hex[:8]}"
-        self._write_text(tmp, json.dumps(m, indent=1, sort_keys=True))
-        if version <= max(self._versions(), default=0) or not self._rename(tmp, f"{self.root}/{MANIFESTS}/{version:020d}.json"):
-            raise RuntimeError(f"lake commit conflict: version {version} was committed since this run began")
-        self.abort()
-        return version
-
-    def replaced(self, keep_versions: int = 2) -> list[str]:
-        """Segments that only manifests older than the last ``keep_versions`` name."""
-        versions = self._versions()
-        at = {v: json.loads(self._read_text(f"{self.root}/{MANIFESTS}/{v:020d}.json"))["tables"] for v in versions}
-        live = {s for v in versions[-keep_versions:] for segs in at[v].values() for s in segs}
-        return sorted({s for v in versions[:-keep_versions] for segs in at[v].values() for s in segs} - live)
-
-    def vacuum(self, keep_versions: int = 2) -> int:
-        """Removes replaced segments and the manifests that named them; readers of the kept versions lose nothing."""
-        gone, old = self.replaced(keep_versions), self._versions()[:-keep_versions]
-        for path in gone + [f"{self.root}/{MANIFESTS}/{v:020d}.json" for v in old]:
-            fs, p = self._fs(path)
-            fs.delete(p, True)
-        return len(gone)
-
-    def abort(self) -> None:
-        """Forget pending writes: their directories stay unreferenced and are never read."""
-        self._pending.clear()
-        self._schemas.clear()
-        self._meta.clear()
-        self._base = None
+    def names(self, layer: str) -> list[str]:
+        """The tables of a layer that are there."""
+        return [n for n in (p.rsplit("/", 1)[1] for p in self.glob(f"{layer}/*")) if self.folders(layer, n)]

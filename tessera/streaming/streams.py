@@ -42,10 +42,11 @@ def ingest(bronze: DataFrame, target_path: str, checkpoint: str):
     """Each micro-batch keeps the first copy of each event_id, drops those the target has (insert-only merge) and
     appends the rest, however late they are. Returns the started query; with ``availableNow`` it stops by itself."""
     spark = bronze.sparkSession
-    target = Lake(spark, target_path)
+    parent, name = target_path.rstrip("/").rsplit("/", 1)
+    parent = Lake(spark, parent)
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        existing = spark.read.parquet(target_path).select("event_id") if target.path_exists(target_path) else None
+        existing = spark.read.parquet(target_path).select("event_id") if parent.glob(name) else None
         fresh = insert_only_merge(existing, to_silver_events(batch), "event_id")
         fresh.write.mode("append").partitionBy("event_date").parquet(target_path)
 

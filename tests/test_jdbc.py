@@ -47,7 +47,7 @@ def test_job_from_arguments_reads_a_database(spark, tmp_path):
     argv = ["--jdbc-url", url, "--jdbc-property", f"driver={DRIVER['driver']}", "--partitions", "3", "--lake", str(tmp_path / "lake"), "--full-refresh"]
     assert refresh.main(argv) == 0
     lake = Lake(spark, str(tmp_path / "lake"))
-    assert lake.manifest()["meta"]["watermark"] == 1000 and lake.read("gold", "fact_move").count() > 0
+    assert lake.current()["watermark"] == 1000 and lake.read("gold", "fact_move").count() > 0
 
 
 def test_id_ranges():

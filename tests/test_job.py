@@ -1,5 +1,5 @@
 """The batch job over the smallest driver table: full refresh, incremental = full, empty source, failed run
-then retry, atomic visibility, run log."""
+then retry, visibility by the pointer, run log."""
 
 import json
 from datetime import datetime
@@ -16,15 +16,12 @@ from tests.conftest import SF_SMALL
 GOLD = ["fact_session", "fact_move", "fact_puzzle", "agg_daily_activity", "dim_player"]
 
 
-SILVER = ["moves", "session_pairs", "sessions"]
+SILVER = ["moves", "sessions"]
 
 
 def _snapshot(lake, names=GOLD, silver=()):
-    out = {n: sorted(map(tuple, lake.read("gold", n).collect())) for n in names}
-    for n in silver:
-        df = lake.read("silver", n)
-        out[f"silver_{n}"] = sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
-    return out
+    tables = {("gold", n): lake.read("gold", n) for n in names} | {("silver", n): lake.read("silver", n) for n in silver}
+    return {k: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr) for k, df in tables.items()}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +36,7 @@ def test_full_refresh_publishes_every_table(spark, full_lake):
     root, out = full_lake
     lake = Lake(spark, root)
     for n in refresh.GOLD_TABLES + refresh.AGGREGATES:
-        assert lake.exists("gold", n)
+        assert n in lake.names("gold")
         assert lake.read("gold", n).count() == out["counts"][f"gold_{n}"]
     assert out["watermark"] == 1000
     assert {c["name"] for c in out["checks"] if c["severity"] == "error" and not c["passed"]} == set()
@@ -55,11 +52,12 @@ def test_incremental_runs_equal_full_refresh(spark, full_lake, tmp_path):
     src.visible_up_to = None
     out = refresh.run(spark, src, root)
     assert out["status"] == "success" and out["counts"]["bronze_new_rows"] == 50
-    # Derived silver is rebuilt only for the sockets with new events; the result equals a full rebuild.
-    assert 0 < out["counts"]["touched_sockets"] <= out["counts"]["bronze_new_rows"]
-    assert 0 < out["counts"]["rebuilt_fact_move"] < out["counts"]["silver_moves"]
-    assert 0 < out["counts"]["rebuilt_fact_session"] < out["counts"]["silver_sessions"]
-    assert _snapshot(Lake(spark, root), silver=SILVER) == _snapshot(Lake(spark, root_full), silver=SILVER)
+    # Only what the new events reach is built anew; the result equals a full rebuild.
+    full_counts = full_lake[1]["counts"]
+    assert 0 < out["counts"]["silver_changed_moves"] < full_counts["silver_moves"] / 2
+    assert out["counts"]["silver_moves"] < full_counts["silver_moves"] and out["counts"]["gold_fact_move"] == out["counts"]["silver_moves"]
+    names = refresh.GOLD_TABLES + refresh.AGGREGATES + ["hours"]
+    assert _snapshot(Lake(spark, root), names, SILVER) == _snapshot(Lake(spark, root_full), names, SILVER)
     # Q1-Q4 from the new rows alone give the whole-table values of the full refresh.
     # So do the primary-key checks of the socket-keyed facts from the touched sockets' rows.
     event_checks = {quality.UNIQUE_EVENT_ID, quality.REQUIRED_FIELDS, quality.NOT_IN_FUTURE, quality.RECONCILE}
@@ -83,7 +81,7 @@ def test_empty_source_keeps_watermark(spark, tmp_path):
     root = str(tmp_path / "lake")
     out = refresh.run(spark, Empty(), root)
     assert out["status"] == "success" and out["watermark"] == 0
-    assert not Lake(spark, root).exists("gold", "fact_session")
+    assert Lake(spark, root).names("gold") == []
 
 
 def test_failed_run_changes_nothing_and_retry_recovers(spark, tmp_path):
@@ -100,7 +98,7 @@ def test_failed_run_changes_nothing_and_retry_recovers(spark, tmp_path):
     out = refresh.run(spark, bad, root)
     assert out["status"] == "failed" and "quality checks failed" in out["error"]
     lake = Lake(spark, root)
-    assert lake.manifest()["meta"]["watermark"] == 500
+    assert lake.current()["watermark"] == 500
     assert _snapshot(lake) == before  # readers never see the failed run's files
     retry = refresh.run(spark, ParquetEventSource(spark, SF_SMALL), root)
     assert retry["status"] == "success" and retry["counts"]["bronze_new_rows"] == 500
@@ -108,20 +106,34 @@ def test_failed_run_changes_nothing_and_retry_recovers(spark, tmp_path):
     assert statuses.count("failed") == 1
 
 
-def test_lake_commit_is_all_or_nothing(spark, tmp_path):
-    lake = Lake(spark, str(tmp_path / "lake"))
-    a = spark.range(3)
-    lake.write(a, "gold", "t1")
-    lake.write(a, "gold", "t2")
-    assert not lake.exists("gold", "t1")  # pending writes are invisible
-    v = lake.commit()
-    assert v == 1 and lake.read("gold", "t1").count() == 3 and lake.read("gold", "t2").count() == 3
-    lake.write(spark.range(5), "gold", "t1")
-    lake.abort()
-    assert lake.read("gold", "t1").count() == 3
-    lake.write(spark.range(2), "gold", "t1", mode="append")
-    lake.commit()
-    assert lake.read("gold", "t1").count() == 5
+def test_pointer_switches_all_tables_of_a_run(spark, scratch):
+    def table(day, *ids):
+        return spark.createDataFrame([(i, day) for i in ids], "move_id int, date_key int")
+
+    def seen(lake, *names):
+        return [sorted(r[0] for r in lake.read("gold", n).collect()) if lake.read("gold", n) else None for n in names]
+
+    lake, reader = Lake(spark, scratch), Lake(spark, scratch)
+    lake.begin()
+    lake.write(table(20240101, 1, 2).union(table(20240102, 3)), "gold", "fact_move")
+    lake.write(spark.range(1).select("id"), "gold", "t")
+    lake.write(spark.range(2), "gold", "events")
+    assert seen(reader, "fact_move", "t", "events") == [None] * 3 and seen(lake, "fact_move") == [[1, 2, 3]] and reader.names("gold") == []
+    lake.publish(watermark=7)
+    assert seen(reader, "fact_move", "t", "events") == [[1, 2, 3], [0], [0, 1]] and reader.current()["watermark"] == 7
+    for rows in (table(20240101, 9, 10), table(20240102, 4, 5)):  # the first one fails before it is published
+        again = Lake(spark, scratch)
+        again.begin()
+        again.write(rows, "gold", "fact_move")
+        again.write(spark.range(5, 6), "gold", "events")
+        assert seen(reader, "fact_move") == [[1, 2, 3]]
+    again.publish(watermark=8)  # the second day's newest folder, the first day's old one; a log has both runs
+    assert seen(reader, "fact_move", "t", "events") == [[1, 2, 4, 5], [0], [0, 1, 5]]
+    full = Lake(spark, scratch)
+    full.begin(full=True)
+    full.write(table(20240103), "gold", "fact_move")
+    full.publish(watermark=0)
+    assert seen(reader, "fact_move", "t", "events") == [[], None, None] and dict(reader.read("gold", "fact_move").dtypes)["date_key"] == "int"
 
 
 def test_merge_skip_duplicates_and_purge(spark):
@@ -162,54 +174,16 @@ def test_incremental_event_checks_equal_whole_table_checks(spark):
     assert {r["name"]: r["value"] for r in whole.collect()}[quality.UNIQUE_EVENT_ID] == 2
 
 
-def test_touched_pk_check_equals_whole_table_check(spark):
-    """Repeated, colliding and null keys among the touched sockets' rows count as the whole-table check
-    counts them."""
+def test_keys_of_changed_rows_are_checked_like_the_whole_table(spark):
+    """Repeated, colliding and null keys among the changed rows count as the whole-table check counts them."""
     rows = [("s1", "a"), ("s2", "b"), ("s3", "b"), ("s3", "c"), ("s4", "c"), ("s4", None)]
     table = spark.createDataFrame(rows, "session_id string, move_id string")
-    touched = spark.createDataFrame([("s3",), ("s4",)], "session_id string")
+    changed = table.where("session_id in ('s3', 's4')")
     whole = refresh.pk_violations({"fact_move": table}).collect()
-    assert refresh.pk_violations_touched(table, "fact_move", touched).collect() == whole
+    assert refresh.pk_violations({"fact_move": table}, {"fact_move": changed}).collect() == whole
     assert (whole[0]["duplicate_keys"], whole[0]["null_keys"]) == (2, 1)
 
 
-def test_second_of_two_writers_fails(spark, scratch):
-    first, second = Lake(spark, scratch), Lake(spark, scratch)
-    first.write(spark.range(3), "gold", "t")
-    first.commit()
-    for lake, rows in ((first, 2), (second, 4)):
-        lake.begin()
-        lake.write(spark.range(rows), "gold", "t", mode="append")
-    assert first.commit() == 2
-    with pytest.raises(RuntimeError, match="conflict"):
-        second.commit()
-    second.abort()
-    assert Lake(spark, scratch).read("gold", "t").count() == 5
-    second.write(spark.range(4), "gold", "t", mode="append")
-    second.commit()
-    assert Lake(spark, scratch).read("gold", "t").count() == 9
-
-
-def test_rename_never_replaces(spark, scratch):
-    lake = Lake(spark, scratch)
-    lake._write_text(f"{scratch}/a", "a")
-    lake._write_text(f"{scratch}/b", "b")
-    assert not lake._rename(f"{scratch}/a", f"{scratch}/b") and lake._read_text(f"{scratch}/b") == "b"
-    assert lake._rename(f"{scratch}/a", f"{scratch}/c") and not lake.path_exists(f"{scratch}/a")
-
-
-def test_vacuum_keeps_what_the_last_versions_name(spark, scratch):
-    lake = Lake(spark, scratch)
-    paths = []
-    for n in range(4):
-        paths.append(lake.write(spark.range(n), "gold", "t"))
-        lake.write(spark.range(1), "bronze", "log", mode="append")
-        lake.commit()
-    assert lake.vacuum() == 2
-    assert [lake.path_exists(p) for p in paths] == [False, False, True, True]
-    assert lake.read("gold", "t").count() == 3 and lake.read("bronze", "log").count() == 4
-
-
 def test_emptied_source_publishes_empty_tables(spark, tmp_path):
     root = str(tmp_path / "lake")
     src = ParquetEventSource(spark, SF_SMALL, visible_up_to=300)
@@ -224,18 +198,15 @@ def test_emptied_source_publishes_empty_tables(spark, tmp_path):
     assert (again["status"], again["watermark"], again["counts"]["silver_events"]) == ("success", 200, 200), again["error"]
 
 
-def test_unequal_counts_stop_the_run_before_the_commit(spark, tmp_path, monkeypatch):
+def test_unequal_counts_stop_the_run_before_it_is_published(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "lake")
     assert refresh.run(spark, ParquetEventSource(spark, SF_SMALL, visible_up_to=300), root)["status"] == "success"
-    before = Lake(spark, root).manifest()
-    monkeypatch.setattr(refresh, "_unequal_counts", lambda tables, written: ["fact_move"])
+    before = Lake(spark, root).current()
+    write = Lake.write
+    monkeypatch.setattr(Lake, "write", lambda self, df, layer, name, by=None: write(self, df, layer, name, by).limit(3 if name == "fact_move" else 1 << 30))
     out = refresh.run(spark, ParquetEventSource(spark, SF_SMALL), root)
     assert out["status"] == "failed" and "fact_move" in out["error"]
-    assert Lake(spark, root).manifest() == before
-    monkeypatch.undo()
-    t = spark.range(3)
-    assert refresh._unequal_counts({"a": t, "b": t.limit(0)}, {"a": 3, "b": 0}) == []
-    assert refresh._unequal_counts({"a": t, "b": t.limit(0)}, {"a": 2, "b": 1}) == ["a", "b"]
+    assert Lake(spark, root).current() == before
 
 
 def test_late_commits_below_the_watermark(spark, tmp_path):
@@ -299,7 +270,8 @@ def test_five_public_tables_make_the_public_datasets_ready(spark, scratch):
     lake = Lake(spark, scratch)
     for n in serving.PUBLIC_TABLES:
         assert not serving.public_ready(lake)
-        lake.write(spark.range(1), "gold", n)
-        lake.commit()
+        lake.begin()
+        lake.write(spark.range(1).selectExpr("id", "20240101 as date_key"), "gold", n)
+        lake.publish()
     assert serving.public_ready(lake) and serving.missing_tables(lake) == ["fact_session", "fact_puzzle"]
     assert serving.missing_tables({"dim_date": 1, "fact_puzzle": 2}) == ["fact_session"]
