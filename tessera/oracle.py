@@ -138,58 +138,40 @@ cte("silver", ["bronze"], _silver_sql("bronze"))
 cte("silver_dup", ["bronze_dup"], _silver_sql("bronze_dup"))
 
 # ---------------------------------------------------------------- silver moves / sessions ---
-cte("mev", ["silver"], """
-SELECT *, lead(event_type) OVER w AS n_type, lead(occurred_at) OVER w AS n_at, lead(p_group_id) OVER w AS n_group,
-       lead(p_hold_ms) OVER w AS n_hold, lead(p_reason) OVER w AS n_reason, lead(p_snapped) OVER w AS n_snapped,
-       lead(p_frame) OVER w AS n_frame, lead(p_merged_groups) OVER w AS n_merged, lead(p_group_size) OVER w AS n_size
-FROM silver
-WHERE event_type IN ('piece_grabbed', 'piece_dropped', 'piece_abandoned') AND session_id IS NOT NULL
-WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at, source_id)""")
-
-cte("moves", ["mev"], """
-SELECT event_id AS move_id, session_id, client_id, room_slug, room_type, puzzle_id, p_group_id AS group_id,
-       p_group_size AS group_size_before, occurred_at AS grabbed_at,
-       CASE WHEN closed THEN n_at END AS ended_at,
-       CASE WHEN closed AND n_type = 'piece_dropped' THEN 'dropped' WHEN closed THEN 'abandoned' ELSE 'open' END AS outcome,
-       CASE WHEN closed THEN n_hold END AS hold_ms,
-       CASE WHEN closed THEN n_reason END AS abandon_reason,
-       coalesce(CASE WHEN closed THEN n_snapped END, false) AS snapped,
-       coalesce(CASE WHEN closed THEN n_frame END, false) AS frame,
-       coalesce(CASE WHEN closed THEN n_merged END, 0) AS merged_groups,
-       CASE WHEN closed THEN n_size END AS group_size_after,
-       event_date, hour_local, weekday, is_bot, is_synthetic, traffic_type
-FROM (SELECT *, coalesce(n_type IN ('piece_dropped', 'piece_abandoned') AND n_group = p_group_id, false) AS closed
-      FROM mev WHERE event_type = 'piece_grabbed')""")
-
-cte("pev", ["silver"], """
-SELECT *, lead(event_type) OVER w AS n_type, lead(occurred_at) OVER w AS n_at, lead(p_reason) OVER w AS n_reason,
-       lead(p_duration_ms) OVER w AS n_duration
-FROM silver
-WHERE event_type IN ('player_joined', 'player_left') AND session_id IS NOT NULL
-WINDOW w AS (PARTITION BY session_id, room_slug ORDER BY occurred_at, source_id)""")
-
-cte("sess0", ["pev"], """
-SELECT event_id AS session_key, session_id, client_id, p_name AS player_name, room_slug, room_type,
-       occurred_at AS joined_at,
-       CASE WHEN n_type = 'player_left' THEN n_at END AS left_at,
-       CASE WHEN n_type = 'player_left' THEN n_reason END AS left_reason,
-       CASE WHEN n_type = 'player_left' THEN n_duration END AS duration_ms,
-       p_players_in_room AS players_at_join, event_date, hour_local, weekday, is_bot, is_synthetic, traffic_type
-FROM pev WHERE event_type = 'player_joined'""")
-
-cte("sstats", ["sess0", "moves"], """
-SELECT s.session_key, count(m.move_id) AS moves, coalesce(sum(CAST(m.snapped AS INTEGER)), 0) AS snaps,
-       coalesce(sum(m.merged_groups), 0) AS groups_merged, count(DISTINCT m.puzzle_id) AS puzzles_played
-FROM sess0 s LEFT JOIN moves m
-  ON m.session_id = s.session_id AND m.room_slug = s.room_slug
- AND m.grabbed_at >= s.joined_at AND m.grabbed_at <= coalesce(s.left_at, TIMESTAMP '9999-12-31')
-GROUP BY s.session_key""")
-
-cte("sessions", ["sess0", "sstats"], """
-SELECT s.*, CAST(coalesce(t.moves, 0) AS BIGINT) AS moves, CAST(coalesce(t.snaps, 0) AS BIGINT) AS snaps,
-       CAST(coalesce(t.groups_merged, 0) AS BIGINT) AS groups_merged,
-       CAST(coalesce(t.puzzles_played, 0) AS BIGINT) AS puzzles_played
-FROM sess0 s LEFT JOIN sstats t USING (session_key)""")
+# The numbered events of a socket (or of a socket in a room): an opener's row ends with the event of the next number, if that
+# is a closer of it.
+cte("numbered_moves", ["silver"], """
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, source_id) AS n
+FROM silver WHERE session_id IS NOT NULL AND event_type IN ('piece_grabbed', 'piece_dropped', 'piece_abandoned')""")
+
+cte("moves", ["numbered_moves"], """
+SELECT g.event_id AS move_id, g.session_id, g.client_id, g.room_slug, g.room_type, g.puzzle_id, g.p_group_id AS group_id,
+       g.p_group_size AS group_size_before, g.occurred_at AS grabbed_at, e.occurred_at AS ended_at,
+       coalesce(e.event_type[7:], 'open') AS outcome, e.p_hold_ms AS hold_ms, e.p_reason AS abandon_reason,
+       e.p_snapped IS TRUE AS snapped, e.p_frame IS TRUE AS frame, coalesce(e.p_merged_groups, 0) AS merged_groups,
+       e.p_group_size AS group_size_after, g.event_date, g.hour_local, g.weekday, g.is_bot, g.is_synthetic, g.traffic_type
+FROM numbered_moves g
+LEFT JOIN numbered_moves e ON e.session_id = g.session_id AND e.n = g.n + 1 AND e.p_group_id = g.p_group_id AND e.event_type <> 'piece_grabbed'
+WHERE g.event_type = 'piece_grabbed'""")
+
+cte("numbered_presence", ["silver"], """
+SELECT *, row_number() OVER (PARTITION BY session_id, room_slug ORDER BY occurred_at, source_id) AS n
+FROM silver WHERE session_id IS NOT NULL AND event_type IN ('player_joined', 'player_left')""")
+
+cte("visits", ["numbered_presence"], """
+SELECT j.event_id AS session_key, j.session_id, j.client_id, j.p_name AS player_name, j.room_slug, j.room_type, j.occurred_at AS joined_at,
+       l.occurred_at AS left_at, l.p_reason AS left_reason, l.p_duration_ms AS duration_ms, j.p_players_in_room AS players_at_join,
+       j.event_date, j.hour_local, j.weekday, j.is_bot, j.is_synthetic, j.traffic_type
+FROM numbered_presence j
+LEFT JOIN numbered_presence l ON l.session_id = j.session_id AND l.room_slug IS NOT DISTINCT FROM j.room_slug AND l.n = j.n + 1 AND l.event_type = 'player_left'
+WHERE j.event_type = 'player_joined'""")
+
+cte("sessions", ["visits", "moves"], """
+SELECT visits.*, count(move_id) AS moves, count(*) FILTER (snapped) AS snaps, CAST(coalesce(sum(merged_groups), 0) AS BIGINT) AS groups_merged,
+       count(DISTINCT puzzle_id) AS puzzles_played
+FROM visits LEFT JOIN (SELECT session_id, room_slug, grabbed_at, move_id, snapped, merged_groups, puzzle_id FROM moves) AS m
+  ON (m.session_id, m.room_slug) = (visits.session_id, visits.room_slug) AND grabbed_at BETWEEN joined_at AND coalesce(left_at, 'infinity')
+GROUP BY ALL""")
 
 # ---------------------------------------------------------------- gold ----------------------
 cte("dim_date", ["silver"], f"""
@@ -201,64 +183,42 @@ FROM (SELECT CAST(unnest(generate_series(CAST(min(event_date) AS TIMESTAMP), CAS
       FROM silver)""")
 
 cte("dim_player", ["silver", "sessions"], """
-SELECT s.client_id, s.first_seen_at, s.last_seen_at, s.is_bot, s.is_synthetic, v.latest_name,
-       coalesce(v.sessions, 0) AS sessions, CAST(coalesce(v.moves, 0) AS BIGINT) AS moves,
-       coalesce(v.active_days, 0) AS active_days,
-       CASE WHEN s.is_synthetic THEN 'synthetic' WHEN s.is_bot THEN 'bot' ELSE 'human' END AS traffic_type
-FROM (SELECT client_id, min(occurred_at) AS first_seen_at, max(occurred_at) AS last_seen_at, bool_or(is_bot) AS is_bot,
-             bool_or(is_synthetic) AS is_synthetic
-      FROM silver WHERE client_id IS NOT NULL GROUP BY client_id) s
-LEFT JOIN (SELECT client_id, first(player_name ORDER BY joined_at DESC, session_key DESC) AS latest_name,
-                  count(*) AS sessions, sum(moves) AS moves, count(DISTINCT event_date) AS active_days
-           FROM sessions GROUP BY client_id) v USING (client_id)""")
-
-_FIRST = "ORDER BY occurred_at, source_id"
-
-cte("dim_room", ["silver"], f"""
-SELECT r.room_slug, r.room_type, r.puzzles, r.is_synthetic, coalesce(c.created_at, r.first_event_at) AS created_at,
-       c.pieces_requested, c.image_width, c.image_height, e.expired_at
-FROM (SELECT room_slug, first(room_type {_FIRST}) AS room_type, min(occurred_at) AS first_event_at,
-             count(DISTINCT puzzle_id) AS puzzles, bool_or(is_synthetic) AS is_synthetic
-      FROM silver WHERE room_slug IS NOT NULL AND room_type IS NOT NULL GROUP BY room_slug) r
-LEFT JOIN (SELECT room_slug, min(occurred_at) AS created_at, first(p_pieces_requested {_FIRST}) AS pieces_requested,
-                  first(p_image_width {_FIRST}) AS image_width, first(p_image_height {_FIRST}) AS image_height
-           FROM silver WHERE event_type = 'room_created' GROUP BY room_slug) c USING (room_slug)
-LEFT JOIN (SELECT room_slug, max(occurred_at) AS expired_at FROM silver WHERE event_type = 'room_expired'
-           GROUP BY room_slug) e USING (room_slug)""")
-
-cte("pplayed", ["moves"], """
-SELECT puzzle_id, count(*) AS moves, sum(CAST(snapped AS INTEGER)) AS snaps,
-       sum(CAST(outcome = 'abandoned' AS INTEGER)) AS abandoned_moves, sum(merged_groups) AS groups_merged,
-       count(DISTINCT client_id) AS players, sum(CAST(is_bot AS INTEGER)) AS bot_moves,
-       min(grabbed_at) AS first_move_at, max(coalesce(ended_at, grabbed_at)) AS last_move_at
-FROM moves GROUP BY puzzle_id""")
-
-cte("fact_puzzle", ["silver", "pplayed"], f"""
-SELECT coalesce(s.puzzle_id, c.puzzle_id) AS puzzle_id,
-       coalesce(s.room_slug_s, c.room_slug_c) AS room_slug, coalesce(s.room_type_s, c.room_type_c) AS room_type,
-       {dkey("CAST(" + local("coalesce(s.started_at, p.first_move_at, c.completed_at)") + " AS DATE)")} AS date_key,
-       coalesce(s.source, 'unknown') AS source, coalesce(s.pieces_s, c.pieces_c) AS pieces,
-       s.started_at, p.first_move_at, c.completed_at, c.completed_at IS NOT NULL AS is_completed, c.duration_ms,
-       CAST(coalesce(p.moves, 0) AS BIGINT) AS moves, CAST(coalesce(p.snaps, 0) AS BIGINT) AS snaps,
-       CAST(coalesce(p.abandoned_moves, 0) AS BIGINT) AS abandoned_moves,
-       CAST(coalesce(p.groups_merged, 0) AS BIGINT) AS groups_merged, CAST(coalesce(p.players, 0) AS BIGINT) AS players,
-       c.contributors,
-       {ratio("coalesce(p.snaps, 0)", "coalesce(p.moves, 0)")} AS snap_rate,
-       CASE WHEN coalesce(s.synthetic_s, c.synthetic_c, false) THEN 'synthetic'
-            WHEN coalesce(p.moves, 0) = 0 THEN 'none'
-            WHEN coalesce(p.bot_moves, 0) = coalesce(p.moves, 0) THEN 'bot'
-            WHEN coalesce(p.bot_moves, 0) > 0 THEN 'mixed' ELSE 'human' END AS traffic_type
-FROM (SELECT puzzle_id, first(room_slug {_FIRST}) AS room_slug_s, first(room_type {_FIRST}) AS room_type_s,
-             min(occurred_at) AS started_at, first(p_source {_FIRST}) AS source, first(p_pieces {_FIRST}) AS pieces_s,
-             bool_or(is_synthetic) AS synthetic_s
-      FROM silver WHERE event_type = 'puzzle_started' GROUP BY puzzle_id) s
-FULL OUTER JOIN (SELECT puzzle_id, first(room_slug {_FIRST}) AS room_slug_c, first(room_type {_FIRST}) AS room_type_c,
-                        min(occurred_at) AS completed_at, first(p_duration_ms {_FIRST}) AS duration_ms,
-                        first(p_pieces {_FIRST}) AS pieces_c, first(p_contributors {_FIRST}) AS contributors,
-                        bool_or(is_synthetic) AS synthetic_c
-                 FROM silver WHERE event_type = 'puzzle_completed' GROUP BY puzzle_id) c
-  ON s.puzzle_id = c.puzzle_id
-LEFT JOIN pplayed p ON p.puzzle_id = coalesce(s.puzzle_id, c.puzzle_id)""")
+SELECT client_id, min(occurred_at) AS first_seen_at, max(occurred_at) AS last_seen_at, bool_or(is_bot) AS is_bot, bool_or(is_synthetic) AS is_synthetic,
+       (SELECT player_name FROM sessions v WHERE v.client_id = c.client_id ORDER BY joined_at DESC, session_key DESC LIMIT 1) AS latest_name,
+       (SELECT count(*) FROM sessions v WHERE v.client_id = c.client_id) AS sessions,
+       (SELECT CAST(coalesce(sum(v.moves), 0) AS BIGINT) FROM sessions v WHERE v.client_id = c.client_id) AS moves,
+       (SELECT count(DISTINCT v.event_date) FROM sessions v WHERE v.client_id = c.client_id) AS active_days,
+       ['human', 'bot', 'synthetic'][1 + max(CASE WHEN is_synthetic THEN 2 WHEN is_bot THEN 1 ELSE 0 END)] AS traffic_type
+FROM silver c WHERE client_id IS NOT NULL GROUP BY client_id""")
+
+cte("dim_room", ["silver"], """
+SELECT named.room_slug, named.room_type, (SELECT count(DISTINCT puzzle_id) FROM silver x WHERE x.room_slug = named.room_slug AND x.room_type IS NOT NULL) AS puzzles,
+       (SELECT bool_or(is_synthetic) FROM silver x WHERE x.room_slug = named.room_slug AND x.room_type IS NOT NULL) AS is_synthetic,
+       coalesce(made.occurred_at, named.occurred_at) AS created_at, made.p_pieces_requested AS pieces_requested, made.p_image_width AS image_width,
+       made.p_image_height AS image_height, (SELECT max(occurred_at) FROM silver x WHERE x.room_slug = named.room_slug AND x.event_type = 'room_expired') AS expired_at
+FROM (SELECT DISTINCT ON (room_slug) * FROM silver WHERE room_type IS NOT NULL AND room_slug IS NOT NULL ORDER BY room_slug, occurred_at, source_id) named
+LEFT JOIN (SELECT DISTINCT ON (room_slug) * FROM silver WHERE event_type = 'room_created' ORDER BY room_slug, occurred_at, source_id) made USING (room_slug)""")
+
+# The first event of either kind of each puzzle; the puzzle's synthetic flag is that of any event of the kind that counts.
+cte("milestones", ["silver"], """
+SELECT DISTINCT ON (puzzle_id, event_type) *, bool_or(is_synthetic) OVER (PARTITION BY puzzle_id, event_type) AS any_synthetic
+FROM silver WHERE puzzle_id IS NOT NULL AND event_type IN ('puzzle_started', 'puzzle_completed') ORDER BY puzzle_id, event_type, occurred_at, source_id""")
+
+cte("fact_puzzle", ["milestones", "moves"], f"""
+SELECT puzzle_id, room_slug, room_type, {dkey("CAST(" + local("coalesce(started_at, first_move_at, completed_at)") + " AS DATE)")} AS date_key, source, pieces,
+       started_at, first_move_at, completed_at, completed_at IS NOT NULL AS is_completed, duration_ms, moves, snaps, abandoned_moves, groups_merged, players,
+       contributors, {ratio("snaps", "moves")} AS snap_rate,
+       CASE WHEN synthetic THEN 'synthetic' WHEN moves = 0 THEN 'none' WHEN bots = 0 THEN 'human' WHEN bots < moves THEN 'mixed' ELSE 'bot' END AS traffic_type
+FROM (SELECT puzzle_id, first(room_slug ORDER BY event_type DESC) AS room_slug, first(room_type ORDER BY event_type DESC) AS room_type,
+             coalesce(any_value(p_source) FILTER (event_type = 'puzzle_started'), 'unknown') AS source, any_value(p_pieces ORDER BY event_type DESC) AS pieces,
+             any_value(occurred_at) FILTER (event_type = 'puzzle_started') AS started_at, any_value(occurred_at) FILTER (event_type = 'puzzle_completed') AS completed_at,
+             any_value(p_duration_ms) FILTER (event_type = 'puzzle_completed') AS duration_ms, any_value(p_contributors) AS contributors,
+             first(any_synthetic ORDER BY event_type DESC) AS synthetic
+      FROM milestones GROUP BY puzzle_id) milestones_of
+LEFT JOIN LATERAL (SELECT count(*) AS moves, count(*) FILTER (m.snapped) AS snaps, count(*) FILTER (m.outcome = 'abandoned') AS abandoned_moves,
+                          CAST(coalesce(sum(m.merged_groups), 0) AS BIGINT) AS groups_merged, count(DISTINCT m.client_id) AS players, count(*) FILTER (m.is_bot) AS bots,
+                          min(m.grabbed_at) AS first_move_at
+                   FROM moves m WHERE m.puzzle_id = milestones_of.puzzle_id) ON true""")
 
 cte("fact_session", ["sessions"], f"""
 SELECT session_key, session_id, client_id, room_slug, room_type, {dkey('event_date')} AS date_key, hour_local, weekday,

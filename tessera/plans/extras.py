@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,29 @@ def friction_counts(events: DataFrame) -> DataFrame:
         .groupBy("event_date", "room_type", "event_type", reason.alias("reason"))
         .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("client_id").alias("players"))
     )
+
+
+def queue_heads(items: DataFrame, key: str, order: Sequence[str], k: int = 1, waiting: Column | None = None) -> DataFrame:
+    """The first ``k`` waiting items of each key by ``order`` (which must tell all items of a key apart), with their
+    ``place`` from 1. The head is an aggregate, ``min`` of a struct, so tasks combine before anything is shuffled and a key of
+    any size costs one row for each task; the next places are the heads of what is left, one such pass each (k is small)."""
+    queue = items if waiting is None else items.where(waiting)
+    rest = [c for c in items.columns if c != key and c not in order]
+    packed = F.struct(*order, *rest)
+    heads = queue.groupBy(key).agg(F.min(packed).alias("head"))
+    out = heads.select(key, F.lit(1).alias("place"), "head.*")
+    for place in range(2, k + 1):
+        last = heads.select(F.col(key).alias("_key"), F.struct(*[F.col(f"head.{c}") for c in order]).alias("_last"))
+        behind = queue.join(last, F.col(key).eqNullSafe(F.col("_key"))).where(F.struct(*order) > F.col("_last"))
+        heads = behind.groupBy(key).agg(F.min(packed).alias("head"))
+        out = out.unionByName(heads.select(key, F.lit(place).alias("place"), "head.*"))
+    return out
+
+
+def ingest_batches(events: DataFrame, tick_ms: int = 2_000, batch: int = 500) -> DataFrame:
+    """The batch that writes each event, by its arrival: the fixed tick it falls in, and within the tick a new batch after
+    each ``batch`` events. Columns: event_id, tick, batch_no (from 0). A tick is a bounded stretch of time, so its running
+    count is a window over one tick's events."""
+    ticked = events.select("event_id", "ingested_at", "source_id", F.floor(F.unix_micros("ingested_at") / F.lit(tick_ms * 1_000)).alias("tick"))
+    nth = F.row_number().over(Window.partitionBy("tick").orderBy("ingested_at", "source_id"))
+    return ticked.select("event_id", "tick", F.floor((nth - 1) / F.lit(batch)).cast("long").alias("batch_no"))

@@ -57,7 +57,7 @@ def q_silver_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "session_move_stats",
     O.with_("SELECT session_key, CAST(moves AS BIGINT) AS moves, CAST(snaps AS BIGINT) AS snaps, "
             "CAST(groups_merged AS BIGINT) AS groups_merged, CAST(puzzles_played AS BIGINT) AS puzzles_played "
-            "FROM sstats", "sstats"),
+            "FROM sessions", "sessions"),
 )
 def q_session_move_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + A9: interval statistics per session, computed without session x move pairs."""
@@ -826,3 +826,70 @@ def q_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily series as a table, newest day first."""
     m = shared_model(spark, sf_dir)
     return S.daily_table(S.api_daily(m.dim_date, m.fact_session, m.fact_puzzle, _periods(m, 14), "human"))
+
+
+# ---------------------------------------------------------------- queue, batches, run log -------
+
+@register("queue_head", """
+SELECT o_custkey, CAST(place AS INTEGER) AS place, o_orderdate, o_orderkey, o_totalprice, o_orderpriority
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O') WHERE place <= 3""")
+def q_queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next three open orders of each customer, oldest first."""
+    orders = read_table(spark, sf_dir, "orders")
+    heads = X.queue_heads(orders, "o_custkey", ["o_orderdate", "o_orderkey"], 3, F.col("o_orderstatus") == "O")
+    return heads.select("o_custkey", "place", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@register("ingest_batches", O.with_("""
+SELECT event_id, epoch_us(ingested_at) // 2000000 AS tick,
+       (row_number() OVER (PARTITION BY epoch_us(ingested_at) // 2000000 ORDER BY ingested_at, source_id) - 1) // 500 AS batch_no
+FROM silver""", "silver"))
+def q_ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The write batch of each event: two-second ticks, 500 events at most."""
+    return X.ingest_batches(shared_model(spark, sf_dir).events)
+
+
+def _run_log(m) -> DataFrame:
+    """A run log that the event log derives: each local day's load is a run, whose rows say "running" and then how it ended;
+    a day of fewer than 20 sessions failed, and a day without a completed puzzle never ended."""
+    days = m.events.groupBy("event_date").agg(
+        F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"), F.max("source_id").alias("top"), F.min("source_id").alias("low"),
+        F.count_if(F.col("event_type") == "player_joined").alias("joins"), F.count_if(F.col("event_type") == "puzzle_completed").alias("done"),
+    ).withColumn("run_id", F.datediff("event_date", F.lit("2020-01-01").cast("date")).cast("long"))
+    null = lambda kind: F.lit(None).cast(kind)
+    good = F.col("joins") >= 20
+    checks = F.to_json(F.array(F.struct(F.lit("joins").alias("name"), good.alias("passed")), F.struct(F.lit("done").alias("name"), (F.col("done") > 1).alias("passed"))))
+    began = days.select("run_id", F.lit(1).cast("long").alias("seq"), "started_at", null("timestamp").alias("finished_at"), F.lit("running").alias("status"),
+                        F.lit(False).alias("full_refresh"), (F.col("low") - 1).alias("watermark_from"), null("long").alias("watermark_to"), null("string").alias("row_counts"),
+                        null("string").alias("checks"), null("string").alias("error"))
+    ended = days.where("done > 0").select(
+        "run_id", F.lit(2).cast("long").alias("seq"), "started_at", F.col("ended_at").alias("finished_at"), F.when(good, "success").otherwise("failed").alias("status"),
+        F.lit(False).alias("full_refresh"), (F.col("low") - 1).alias("watermark_from"), F.when(good, F.col("top")).alias("watermark_to"), null("string").alias("row_counts"),
+        checks.alias("checks"), F.when(~good, F.lit("too few joins")).alias("error"))
+    return began.unionByName(ended)
+
+
+O.cte("daily_runs", ["silver"], """
+SELECT datediff('day', DATE '2020-01-01', event_date) AS run_id, min(occurred_at) AS started_at, max(occurred_at) AS ended_at, max(source_id) AS top,
+       count(*) FILTER (event_type = 'player_joined') AS joins, count(*) FILTER (event_type = 'puzzle_completed') AS done
+FROM silver GROUP BY event_date""")
+
+
+@register("last_run", O.with_("""
+SELECT run_id, CASE WHEN done = 0 THEN 'running' WHEN joins >= 20 THEN 'success' ELSE 'failed' END AS status, started_at,
+       CASE WHEN done > 0 THEN ended_at END AS finished_at, CASE WHEN done > 0 AND joins < 20 THEN 'too few joins' END AS error,
+       CASE WHEN done > 0 THEN CAST(joins >= 20 AS BIGINT) + CAST(done > 1 AS BIGINT) ELSE 0 END AS passed, CASE WHEN done > 0 THEN 2 ELSE 0 END AS total
+FROM daily_runs ORDER BY run_id DESC LIMIT 1""", "daily_runs"))
+def q_last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 + P19 + P20: the newest run with its error and its passed and total checks."""
+    from tessera.plans import runs
+
+    return runs.last_run(_run_log(shared_model(spark, sf_dir)))
+
+
+@register("last_watermark", O.with_("SELECT CAST(coalesce(max(top) FILTER (done > 0 AND joins >= 20), 0) AS BIGINT) AS watermark FROM daily_runs", "daily_runs"))
+def q_last_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest watermark of a successful run."""
+    from tessera.plans import runs
+
+    return runs.watermark(_run_log(shared_model(spark, sf_dir)))

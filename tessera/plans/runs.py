@@ -47,6 +47,11 @@ def last_run(log: DataFrame) -> DataFrame:
     )
 
 
+def watermark(log: DataFrame) -> DataFrame:
+    """The largest watermark that a run has ended with in success, 0 if none has."""
+    return latest_rows(log).filter(F.col("status") == "success").agg(F.coalesce(F.max("watermark_to"), F.lit(0)).alias("watermark"))
+
+
 def error_summary(err: BaseException) -> str:
     """The first non-empty line of the error, else its type."""
     return next((line for line in str(err).splitlines() if line.strip()), type(err).__name__)
@@ -74,8 +79,7 @@ class RunLog:
     def last_watermark(self) -> int:
         """Largest watermark of a successful run (0 if none). A report: a job's own watermark is the one committed with
         the tables, since a run may end between its commit and its last log row."""
-        cur = latest_rows(self.table()).filter(F.col("status") == "success")
-        return int(cur.agg(F.coalesce(F.max("watermark_to"), F.lit(0))).first()[0])
+        return int(watermark(self.table()).first()[0])
 
     def start(self, watermark_from: int, full_refresh: bool) -> int:
         """R2: runs still marked running are abandoned; a new run row is inserted."""
