@@ -18,9 +18,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while (state := _state(now)) != before:
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that the join sees a plain shuffle on both sides, whose hubs Spark's skew handling splits
+        least = C.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = C.cut(large)
+        low = C.cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = C.cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

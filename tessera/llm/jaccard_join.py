@@ -15,9 +15,12 @@ paired with each other.
 So a group of near copies of any size yields one row for each document, with the exact number of its links, and the
 number of rows that move grows with the group's size times its number of blocks.
 
-Defined cases: a text without words (null, empty) is a class of its own without links; a row with a null id is returned
-with null class and group and no links; repeated rows (same id, same text) count as copies of each other; rows of one id
-with different texts are compared under that id, by the text with the least n-gram digest.
+Classes are named inside by a number of their own (the place of their first row in the written table of signatures), so
+ids only label rows: they may repeat, with equal or different texts, or be null. In the result a class and a group are
+named by the least id of their rows (null if none has an id).
+
+Defined cases: a text without words (null, empty) is a class of its own without links; repeated rows (same id, same text)
+count as copies of each other; rows of one id with different texts are in different classes, and each has its own links.
 """
 
 from __future__ import annotations
@@ -89,12 +92,12 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, text_hash, n_grams, digest1, digest2, bands) of every (id, text_hash, text)."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = C.text_buffers(batch.column(text_col))
+            data, offsets = C.text_buffers(batch.column("text"))
             for begin, end, piece, offs in C.slices(data, offsets):
                 sets = gram_sets(piece, offs)
                 hashes = band_hashes(sets, bands, rows)
@@ -102,13 +105,13 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: i
                 digest = np.array([[m.sum(dtype=np.uint64), C.mix(m ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for m in marks], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(id_col).slice(begin, end - begin), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                        *(batch.column(c).slice(begin, end - begin) for c in ("id", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(hashes.ravel())),
                     ],
-                    names=["id", "n_grams", "digest1", "digest2", "bands"],
+                    names=["id", "text_hash", "n_grams", "digest1", "digest2", "bands"],
                 )
 
-    return C.map_rows(docs, [id_col, text_col], f"id {id_type}, n_grams bigint, digest1 bigint, digest2 bigint, bands array<bigint>", run)
+    return docs.mapInArrow(run, "id bigint, text_hash bigint, n_grams bigint, digest1 bigint, digest2 bigint, bands array<bigint>")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
@@ -198,24 +201,36 @@ def _pieces(batches):
         yield _compare(group)
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR[0] / SIMILAR[1], recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``class_id`` (least id with the same n-gram set), ``class_size``,
-    ``group_id`` (least id reachable over links) and ``n_links`` (other documents of at least the similarity)."""
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+_CLASS = ["digest1", "digest2"]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row, and the classes: digest1, digest2, class_id, size, linked (documents of other classes), root
+    (of its group) and group_id."""
     bands, rows = choose_bands(threshold, recall)
-    signed = C.cut(_signatures(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", bands, rows))
-    full = signed.where(F.col("id").isNotNull() & (F.col("n_grams") > 0))
-    classes = full.groupBy("digest1", "digest2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    narrow = _narrow(docs, id_col, text_col)
+    signed = C.cut(_signatures(narrow, bands, rows)).withColumn("row", F.monotonically_increasing_id())  # of written rows: stable
+    classes = signed.where(F.col("n_grams") > 0).groupBy(_CLASS).agg(
+        F.min("row").alias("node"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands"),
+        F.min_by(F.struct("id", "text_hash"), "row").alias("rep"),
+    )
 
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
     candidates = connected_components(buckets.join(least, "bucket").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
 
-    members = classes.select("node", "size", "n_grams").join(candidates, "node").withColumnRenamed("root", "component")
+    members = classes.select("node", "size", "n_grams", "rep").join(candidates, "node").withColumnRenamed("root", "component")
     need = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)), F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks")
     )
-    members = members.join(need, "component").select("component", "node", "size", "blocks")
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), F.col(f"`{text_col}`").alias("text")).join(members, "node")
+    members = members.join(need, "component").select("component", "node", "size", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    # the text of the row that stands for the class; a row that is repeated as it is gives the same text again
+    texts = narrow.join(members, (F.col("text_hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id")))
 
     def sets(batches):
         for batch in batches:
@@ -239,23 +254,41 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["node", "linked", "root"])
 
     compared = C.cut(dealt.mapInArrow(compare, "node bigint, linked bigint, root bigint"))
-    groups = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "group_id")
-    counted = compared.groupBy("node").agg(F.sum("linked").alias("linked")).join(groups, "node", "left")
-    known = classes.select("digest1", "digest2", "node", "size").join(counted, "node", "left")
-    out = full.select("id", "digest1", "digest2").join(known, ["digest1", "digest2"]).select(
-        F.col("id").alias(id_col), F.col("node").alias("class_id"), F.col("size").alias("class_size"), F.coalesce("group_id", "node").alias("group_id"),
-        (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+    groups = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = C.cut(groups.join(classes.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("group_id")))
+    counted = compared.groupBy("node").agg(F.sum("linked").alias("linked")).join(groups, "node").join(named, "root")
+    known = classes.select(*_CLASS, "class_id", "size", "node").join(counted, "node", "left").select(
+        *_CLASS, "class_id", "size", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root"),
+        F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"),
+    )
+    return signed, known
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILAR[0] / SIMILAR[1], recall: float = RECALL) -> DataFrame:
+    """One row for each row of ``docs``: the id, ``class_id`` (least id with the same n-gram set), ``class_size``,
+    ``group_id`` (least id reachable over links) and ``n_links`` (other documents of at least the similarity)."""
+    signed, known = _grouped(docs, id_col, text_col, threshold, recall)
+    out = signed.where(F.col("n_grams") > 0).select("id", *_CLASS).join(known, _CLASS).select(
+        F.col("id").alias(id_col), "class_id", F.col("size").alias("class_size"), "group_id", (F.col("size") - 1 + F.col("linked")).alias("n_links"),
     )
-    alone = signed.where(F.col("id").isNull() | (F.col("n_grams") == 0)).select(
+    alone = signed.where(F.col("n_grams") == 0).select(
         F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"),
     )
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents (all columns) without those that another one of their group stands for: the group's least id stays,
-    once. Rows with a null id stay."""
-    gone = links(docs, id_col, text_col).where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    named = docs.where(F.col(f"`{id_col}`").isNotNull())
-    kept = named.join(gone, named[id_col] == gone["gone_id"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """The documents (all columns), one of each group: a row of the group's least id (null ids last), and of its texts the one
+    with the least hash, once. A row goes only if its own text's group has another row that stays; texts without words stay."""
+    signed, known = _grouped(docs, id_col, text_col, SIMILAR[0] / SIMILAR[1], RECALL)
+    pairs = signed.where(F.col("n_grams") > 0).groupBy("id", "text_hash", *_CLASS).agg(F.count(F.lit(1)).alias("copies"))
+    rooted = pairs.join(known.select(*_CLASS, "root"), _CLASS).select("id", "text_hash", "copies", "root", F.struct(F.col("id").isNull().alias("last"), "id", "text_hash").alias("name"))
+    first = C.cut(rooted.groupBy("root").agg(F.min("name").alias("first")))
+    judged = rooted.join(first, "root").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), (F.col("name") == F.col("first")).alias("stays"), "copies")
+    judged = judged.where(~F.col("stays") | (F.col("copies") > 1)).drop("copies")  # rows that nothing is known of stay
+    order = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("doc"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    found = packed.join(judged, (F.col("text_hash") == F.col("gone_hash")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    single = found.where("stays is null").select("doc")
+    several = found.where("stays").groupBy("id", "text_hash").agg(F.first("doc").alias("doc")).select("doc")
+    return single.unionByName(several).select(*[F.col("doc")[c].alias(c) for c in order])

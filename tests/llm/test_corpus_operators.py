@@ -279,6 +279,34 @@ def test_links_equal_all_pairs(spark, documents, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want.values()})
 
 
+def test_links_of_repeated_and_null_ids(spark, monkeypatch):
+    """An id that stands with different texts, copies and near copies under other, equal and null ids: no link and no text is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 5)
+    a, b = near_copies(12), ["x " + t.replace("w", "u") for t in near_copies(12)]
+    c = " ".join(f"c{k}" for k in range(40))
+    rows = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (4, a[2]), (4, b[2]), (4, a[2]), (4, b[2]), (None, a[3]), (None, b[3]), (5, b[4]), (None, c), (None, c), (None, c + " d"),
+            (6, "alone " + " ".join(f"z{k}" for k in range(30))), (6, "quite another text of six words"), (7, ""), (7, ""), (None, None), (8, "two words"), (8, "two words")]
+    rows += [(random.Random(k).choice([9, 10, None]), t) for k, t in enumerate([*a[4:], *b[5:]])]
+    brute = brute_links(list(enumerate(t for _, t in rows)))
+
+    def least(places):
+        return min((rows[p][0] for p in places if rows[p][0] is not None), default=None)
+
+    classes, groups = collections.defaultdict(list), collections.defaultdict(list)
+    for p, (one, _, whole, _) in brute.items():
+        classes[one].append(p)
+        groups[whole].append(p)
+    want = collections.Counter((rows[p][0], least(classes[one]), size, least(groups[whole]), n) for p, (one, size, whole, n) in brute.items())
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert collections.Counter(map(tuple, jaccard_join.links(df).collect())) == want
+    kept = [tuple(r) for r in jaccard_join.keep_one(df).collect()]
+    of_text = {t: whole for p, (_, _, whole, _) in brute.items() for t in [rows[p][1]]}
+    words = [(i, t) for i, t in kept if grams(t)]
+    assert sorted(of_text[t] for _, t in words) == sorted({whole for p, (_, _, whole, _) in brute.items() if grams(rows[p][1])})
+    assert all(i == least(groups[of_text[t]]) and (i, t) in rows for i, t in words)
+    assert sorted((r for r in kept if not grams(r[1])), key=repr) == sorted((r for r in rows if not grams(r[1])), key=repr)
+
+
 def test_join_odd_rows(odd, none):
     got = jaccard_join.links(odd).collect()
     assert len(got) == 9
