@@ -124,12 +124,12 @@ def map_rows(df: DataFrame, columns: list[str], schema: StructType | str, fn: Ca
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each session, unless their Python path holds it already
-    (PYTHONPATH or the working folder; on a cluster ``--py-files`` does the same)."""
-    package = Path(__file__).resolve().parents[1]
-    root, context = str(package.parent), spark.sparkContext
+    """Sends this package to the executors, once for each session. A local master has none: its workers import what the driver
+    imports."""
+    package, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    local = context.master.split("[")[0] == "local"
     known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
-    if root in known or context.applicationId in _SHIPPED:
+    if local and str(package.parent) in known or context.applicationId in _SHIPPED:
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), f"{package.name}.zip")
     with zipfile.ZipFile(archive, "w") as z:

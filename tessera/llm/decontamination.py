@@ -5,8 +5,8 @@ Words are the runs of 0-9, a-z (A-Z folded) and non-ASCII characters. A window i
 an item; an item with fewer words, but at least one, is a single window. A document word is hit if an occurrence
 of any window covers it. A document is contaminated if it has a hit and 20 * n_hit >= n_words.
 
-Size bound: the driver and each worker hold the windows of one block of benchmark items of at most
-``block_bytes`` of text. A larger benchmark is worked off in several blocks, one scan of the documents each; the
+Size bound: the driver holds one block of benchmark items of at most ``block_bytes`` of text, and each worker the windows of
+one block, built once for all its tasks (some 70 bytes for each byte of text). A larger benchmark is worked off in several blocks, one scan of the documents each; the
 hits found so far travel with the rows, so the result is the same whatever the number of blocks.
 
 Defined cases: a null or word-less text has no words, no hits and is not contaminated; null or word-less items
@@ -17,6 +17,7 @@ counts as an item named by the empty string; an empty table on either side gives
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 SIZE = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _LOW = np.uint64(0xFFFF)
 
 
@@ -61,6 +62,17 @@ class Windows:
             self.lengths[span] = (np.unique(hashes), low, known)
 
 
+_BUILT: dict[str, Windows] = {}
+
+
+def _windows(block: str, items: list[tuple[str, str | None]], size: int) -> Windows:
+    """The block's windows, which a worker builds for its first task and keeps until it meets another block."""
+    if block not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block] = Windows(items, size)
+    return _BUILT[block]
+
+
 def scan(windows: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list[int], set[str]]]]:
     """Words per row, and by row its hit windows (flat starts and ends, in words) and items."""
     starts, ends, word_offsets = C.word_spans(data, offsets, C.ALNUM)
@@ -124,8 +136,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name in carry]
                            + [f"`{words}` bigint, `{hit}` array<bigint>, `{seen}` array<string>"])
 
-        def run(batches, shared=shared, carry=carry, first=k == 0):
-            windows = Windows(shared.value, size)
+        def run(batches, shared=shared, carry=carry, first=k == 0, block=uuid.uuid4().hex):
+            windows = _windows(block, shared.value, size)
             for batch in batches:
                 n_words, spans, items_of = [], [], []
                 if not first:

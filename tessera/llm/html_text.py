@@ -1,15 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped into lines, one for each block of the page. Every line gets a length: the characters of its text,
-outside links where no article or main part is marked; lines of page furniture (navigation, headers, footers, sidebars, notices, adverts, forms, reader comments)
-have length 0, and so have lines outside the article where the page marks one. A class or id names furniture if it is one of
+The markup is stripped into lines, one for each block of the page. Lines of page furniture (navigation, headers, footers,
+sidebars, notices, adverts, forms, reader comments) go. A class or id names furniture if it is one of
 the known names, or a phrase of them and of words for places (``site-footer``); ``has-sidebar`` or ``related-work`` is none.
 Names don't count on headings and paragraphs of a marked article, nor ids on them and on sections of a main part, where they
-are slugs of titles, nor on an element that holds the page's only article, unless there is more text outside it. Lengths are summed over sliding windows of
-``WINDOW`` lines. A window sum of ``SURGE`` or more (or the page's largest, if that is less) that starts at a line of
-some length is a surge point; the window sum 0
-after it is a dive point. All lines but furniture between the first surge and the last dive are the text, lines that are one
-link included. In a marked article or main part every line counts ``SURGE`` more, so that short articles surge too.
+are slugs of titles, nor on an element that holds the page's only article, unless there is more text outside it. A form that
+holds most of the page's text is a page, not a form.
+
+Every other line gets a length: its characters outside links. Marks weigh the lines: where the page marks an article, or else
+a main part, and no more than it holds (or than two surges) is outside, its lines alone count, with their links and ``SURGE`` more; an article that is a minor part (a teaser in the main part, a remark) is weighed like any other text. Lengths
+are summed over sliding windows of ``WINDOW`` lines. A line of some length whose window sum is ``SURGE`` or more (or the page's
+largest, if that is less) is a surge point. The text runs from there to the next dive point, where a window sum is 0, and so
+on from surge to dive. All lines between are kept, those that are one link included.
 
 Defined cases: null and empty pages have the empty text; broken markup is read as far as it goes (an unclosed comment,
 script or tag reaches to the end of the page); character references are decoded once, after the markup is gone, also
@@ -31,7 +33,7 @@ SURGE = 80
 
 #: Elements whose content is no text, furniture elements, elements inside a line, void elements.
 _RAW = frozenset("script style noscript template iframe svg math object canvas video audio textarea title head".split())
-_FURNITURE = frozenset("nav footer aside form menu dialog button select fieldset".split())
+_FURNITURE = frozenset("nav footer aside menu dialog button select fieldset".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
@@ -45,7 +47,7 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer for
 #: Class and id names that mark furniture, and words that may stand beside them in a phrase.
 _FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies copyright disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay "
+    "cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay "
     "pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skyscraper social sponsor sponsored "
     "subscribe subscription toolbar topbar trending widget widgets alert form search".split()
 )
@@ -73,7 +75,7 @@ def _kind(tag: str, attributes: str, in_article: bool, in_main: bool = False) ->
     """furniture, named (furniture by its class or id), article (marked), main, or plain."""
     if tag in _FURNITURE or tag == "header" and not in_article:
         return "furniture"
-    found, named = "", False
+    found, named = "", tag == "form"
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
@@ -94,9 +96,10 @@ def _kind(tag: str, attributes: str, in_article: bool, in_main: bool = False) ->
     return "named" if named else "article" if tag == "article" else found or ("main" if tag == "main" else "")
 
 
-def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int, int]]:
+def lines_of(page: str, holders: bool = False, forms: bool = True) -> list[tuple[str, int, int, int]]:
     """(text, characters or 0 for furniture, those outside links, level) of every line with text; level 2: in a marked
-    article, 1: in the main part, 0: elsewhere. With ``holders``, named furniture that holds an article is none."""
+    article, 1: in the main part, 0: elsewhere. With ``holders``, named furniture that holds an article is none; without
+    ``forms``, no form is."""
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, str]] = []
     counts = {"furniture": 0, "named": 0, "article": 0, "main": 0, "a": 0}
@@ -166,7 +169,7 @@ def lines_of(page: str, holders: bool = False) -> list[tuple[str, int, int, int]
             closes = _CLOSES.get(tag) or ({"p"} if tag in _ENDS_P else ())
             if closes:
                 _close(stack, closes, pop)
-            kind = _kind(tag, attributes, counts["article"] > 0, counts["main"] > 0)
+            kind = _kind(tag, attributes, counts["article"] > 0, counts["main"] > 0) if forms or tag != "form" else ""
             if holders and kind == "article" and counts["named"]:
                 stack[:] = [(t, "" if k == "named" else k) for t, k in stack]
                 counts["named"] = 0
@@ -187,25 +190,48 @@ def _close(stack, tags, pop) -> None:
             pop()
 
 
+def _shown(lines: list[tuple[str, int, int, int]]) -> int:
+    return sum(size for _, size, _, _ in lines)
+
+
 def _marked(page: str) -> list[tuple[str, int, int, int]]:
-    """The page's lines. Where no article is outside furniture, one in named furniture counts, if it has most of the text."""
+    """The page's lines. Where no article is outside furniture, one in named furniture counts, if it has most of the text; and a
+    form is furniture only if it has less text than the rest of the page."""
     lines = lines_of(page)
+    if "<form" in page.lower() and _shown(open_form := lines_of(page, forms=False)) > 2 * _shown(lines):
+        lines = open_form
     if any(lv == 2 and size for _, size, _, lv in lines) or not any(lv == 2 for *_, lv in lines):
         return lines
     again = lines_of(page, holders=True)
-    return again if sum(size for _, size, _, lv in again if lv == 2) > sum(size for _, size, _, _ in lines) else lines
+    return again if sum(size for _, size, _, lv in again if lv == 2) > _shown(lines) else lines
 
 
-def main_text(page: str | None) -> str:
-    lines = _marked(page or "")
-    level = max((lv for _, size, _, lv in lines if size), default=0)
-    lengths = [(size + SURGE if level else free) if size and lv == level else 0 for _, size, free, lv in lines]
+def weighed(lines: list[tuple[str, int, int, int]]) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """The lines that may be text, by the marks of the page, and their lengths."""
+    total = sum(size if lv else free for _, size, free, lv in lines)
+    for level in (2, 1):
+        part = [x for x in lines if x[3] >= level]
+        if part and total - _shown(part) <= max(_shown(part), 2 * SURGE):
+            return part, [size + SURGE for _, size, _, _ in part]
+    return lines, [free for _, _, free, _ in lines]
+
+
+def spans(lengths: list[int]) -> list[tuple[int, int]]:
+    """(surge, end) of every stretch of lines from a surge point to the next dive point."""
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    surge = min(SURGE, max(sums, default=0))
-    first = next((i for i in range(n) if lengths[i] and sums[i] >= surge), n)
-    last = max((i for i in range(n) if lengths[i]), default=-1)  # before the last dive
-    return "\n".join(line for line, size, _, lv in lines[first : last + 1] if size and lv == level)
+    surge = max(1, min(SURGE, max(sums, default=0)))
+    out, at = [], 0
+    while (first := next((i for i in range(at, n) if lengths[i] and sums[i] >= surge), n)) < n:
+        at = next((i for i in range(first, n) if sums[i] == 0), n)
+        last = max(i for i in range(first, at) if lengths[i])
+        out.append((first, last + 1))
+    return out
+
+
+def main_text(page: str | None) -> str:
+    lines, lengths = weighed([line for line in _marked(page or "") if line[1]])
+    return "\n".join(line for first, end in spans(lengths) for line, *_ in lines[first:end])
 
 
 def extract(pages: DataFrame, id_cols: list[str], html_col: str = "html", out_col: str = "text") -> DataFrame:

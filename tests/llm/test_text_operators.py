@@ -220,6 +220,37 @@ def test_html_links_and_short_ends(page, text):
     assert html_text.main_text(page) == text
 
 
+_P = "<p>A paragraph of the body that is long enough to surge, with a second clause and a third one for good measure.</p>"
+_PT = "A paragraph of the body that is long enough to surge, with a second clause and a third one for good measure."
+_MENU = "".join(f"<div><a href='/{k}'>Menu item number {k} with a long title of its own</a></div>" for k in range(6))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # plain divs: a surge before the paragraphs and a dive into the links; what follows the dive does not surge again
+    (f"<div>{_P}{_P}</div>{_MENU}<div>(c) 2020 Foo</div>", f"{_PT}\n{_PT}"),
+    (f"{_MENU}<div>{_P}</div>{_MENU}<div>Foo Ltd</div>", _PT),
+    (f"{_MENU}{_P}{_MENU}{_P}{_MENU}", f"{_PT}\n{_PT}"),  # two stretches of text
+    (f"{_P}<div><a href='/x'>One link</a></div><div><a href='/y'>another</a></div>{_P}", f"{_PT}\nOne link\nanother\n{_PT}"),
+    # a teaser in the main part, a remark after the body, a page-wide form
+    (f"<main>{_P}{_P}<article><p>One teaser of a few words</p></article></main>", f"{_PT}\n{_PT}\nOne teaser of a few words"),
+    (f"<div id='content'>{_P}{_P}</div><div class='discussion'><article><p>I like this.</p></article></div>", f"{_PT}\n{_PT}"),
+    (f"<div id='content'>{_P}{_P}{_P}</div><div><article><p>Short.</p></article></div>", f"{_PT}\n{_PT}\n{_PT}\nShort."),
+    (f"<form action='/p'><div>menu</div><article>{_P}</article></form>", _PT),
+    (f"<form action='/p'><div>{_P}{_P}</div><button>Send</button></form><p>x</p>", f"{_PT}\n{_PT}\nx"),
+    (f"<article>{_P}<form><p>Your name please</p><input></form>{_P}</article>", f"{_PT}\n{_PT}"),
+    # a marked article counts with its links, and alone
+    (f"<div>Outside it, some words that no article holds</div><article><h1><a href='/'>Title</a></h1>{_P}<p><a href='/z'>Linked</a></p></article>", f"Title\n{_PT}\nLinked"),
+])
+def test_html_surge_and_dive(page, text):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_html_stretches():
+    assert html_text.spans([0, 0, 100, 0, 0, 0, 5, 0, 0, 0, 90, 10, 0]) == [(2, 3), (10, 12)]
+    assert html_text.spans([5, 0, 0, 30]) == [(0, 4)] or html_text.spans([5, 0, 0, 30]) == [(3, 4)]
+    assert html_text.spans([]) == [] == html_text.spans([0, 0, 0])
+
+
 def test_html_odd_rows(odd, none):
     got = html_text.extract(odd, ["doc_id", "kept"], html_col="text")
     assert got.count() == 9 and html_text.extract(none, ["doc_id"], html_col="text").count() == 0
