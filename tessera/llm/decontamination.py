@@ -5,8 +5,8 @@ Words are the runs of 0-9, a-z (A-Z folded) and non-ASCII characters. A window i
 an item; an item with fewer words, but at least one, is a single window. A document word is hit if an occurrence
 of any window covers it. A document is contaminated if it has a hit and 20 * n_hit >= n_words.
 
-Size bound: the driver holds one block of benchmark items of at most ``block_bytes`` of text, and each worker the windows of
-one block, built once for all its tasks (some 70 bytes for each byte of text). A larger benchmark is worked off in several blocks, one scan of the documents each; the
+Size bound: the driver builds the windows of one block of benchmark items of at most ``block_bytes`` of text, as arrays of
+some eight times its size, and broadcasts them; a worker keeps one copy for all its tasks. A larger benchmark is worked off in several blocks, one scan of the documents each; the
 hits found so far travel with the rows, so the result is the same whatever the number of blocks.
 
 Defined cases: a null or word-less text has no words, no hits and is not contaminated; null or word-less items
@@ -17,7 +17,6 @@ counts as an item named by the empty string; an empty table on either side gives
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 SIZE = 13
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 _LOW = np.uint64(0xFFFF)
 
 
@@ -36,41 +35,29 @@ def normalised_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: by length, sorted hashes with the words and items of each."""
+    """The windows of some items, as arrays: by length, sorted hashes with the item and the bytes (of all items' words, joined
+    by spaces) of each window."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = normalised_words(text)
-            span = min(size, len(words))
-            for at in range(len(words) - span + 1 if words else 0):
-                found.setdefault(tuple(words[at : at + span]), set()).add(item)
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]]] = {}
-        by_length: dict[int, list[tuple[bytes, ...]]] = {}
-        for key in found:
-            by_length.setdefault(len(key), []).append(key)
-        for span, keys in by_length.items():
-            flat = b" ".join(w for key in keys for w in key)
-            data = np.frombuffer(flat, np.uint8)
-            starts, ends, _ = C.word_spans(data, np.array([0, len(data)]), C.ALNUM)
-            hashes = C.window_hashes(C.word_hashes(data, starts, ends, True), span)[::span]
-            known: dict[int, list] = {}
-            for h, key in zip(hashes.tolist(), keys):
-                known.setdefault(h, []).append((key, found[key]))
+        texts = [b" ".join(normalised_words(text)) for _, text in items]
+        self.names = [item for item, _ in items]
+        self.text = b" ".join(texts)
+        data, begins = np.frombuffer(self.text, np.uint8), np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        starts, ends, _ = C.word_spans(data, np.array([0, len(data)]), C.ALNUM)
+        words = C.word_hashes(data, starts, ends, True)
+        first = np.searchsorted(starts, np.append(begins[: len(texts)], len(data) + 1))
+        n_words = np.diff(first)[: len(texts)]
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for span in np.unique(np.minimum(n_words[n_words > 0], size)).tolist():
+            mine = np.flatnonzero((n_words >= span) if span == size else (n_words == span))
+            count = n_words[mine] - span + 1
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[mine], count)
+            hashes = C.window_hashes(words, span)[at]
+            order = np.argsort(hashes, kind="stable")
             low = np.zeros(1 << 16, bool)
             low[(hashes & _LOW).astype(np.int64)] = True
-            self.lengths[span] = (np.unique(hashes), low, known)
-
-
-_BUILT: dict[str, Windows] = {}
-
-
-def _windows(block: str, items: list[tuple[str, str | None]], size: int) -> Windows:
-    """The block's windows, which a worker builds for its first task and keeps until it meets another block."""
-    if block not in _BUILT:
-        _BUILT.clear()
-        _BUILT[block] = Windows(items, size)
-    return _BUILT[block]
+            at = at[order]
+            self.lengths[span] = (hashes[order], low, np.repeat(mine, count)[order], starts[at], ends[at + span - 1])
 
 
 def scan(windows: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list[int], set[str]]]]:
@@ -79,23 +66,25 @@ def scan(windows: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     hashes = C.word_hashes(data, starts, ends, True)
     hits: dict[int, tuple[list[int], set[str]]] = {}
     text = None
-    for span, (sorted_hashes, low, known) in windows.lengths.items():
+    for span, (known, low, item, begin, end) in windows.lengths.items():
         found = C.window_hashes(hashes, span)
         maybe = np.flatnonzero(low[(found & _LOW).astype(np.int64)])
-        at = np.searchsorted(sorted_hashes, found[maybe])
-        maybe = maybe[sorted_hashes[np.minimum(at, len(sorted_hashes) - 1)] == found[maybe]]
+        at = np.searchsorted(known, found[maybe])
+        same = known[np.minimum(at, len(known) - 1)] == found[maybe]
+        maybe, at = maybe[same], at[same]
+        stop = np.searchsorted(known, found[maybe], "right")
         rows = np.searchsorted(word_offsets, maybe, "right") - 1
         inside = maybe + span <= word_offsets[rows + 1]
-        for p, row in zip(maybe[inside].tolist(), rows[inside].tolist()):
+        for p, row, lo, hi in zip(*(x[inside].tolist() for x in (maybe, rows, at, stop))):
             if text is None:
                 text = data.tobytes().translate(C.NORMALISE)
-            words = tuple(text[a:b] for a, b in zip(starts[p : p + span].tolist(), ends[p : p + span].tolist()))
-            for key, items in known[int(found[p])]:
-                if key == words:
-                    spans, seen = hits.setdefault(row, ([], set()))
-                    begin = p - int(word_offsets[row])
-                    spans += (begin, begin + span)
-                    seen |= items
+            words = b" ".join(text[a:b] for a, b in zip(starts[p : p + span].tolist(), ends[p : p + span].tolist()))
+            seen = {windows.names[item[k]] for k in range(lo, hi) if windows.text[begin[k] : end[k]] == words}
+            if seen:
+                spans, items = hits.setdefault(row, ([], set()))
+                first = p - int(word_offsets[row])
+                spans += (first, first + span)
+                items |= seen
     return np.diff(word_offsets), hits
 
 
@@ -131,13 +120,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     state = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`"))
     blocks = _with_last(_blocks(benchmark, item_col, item_text_col, block_bytes))
     for k, (items, last) in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Windows(items, size))
         carry = keep + ([text_col] if keep_text or not last else [])
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name in carry]
                            + [f"`{words}` bigint, `{hit}` array<bigint>, `{seen}` array<string>"])
 
-        def run(batches, shared=shared, carry=carry, first=k == 0, block=uuid.uuid4().hex):
-            windows = _windows(block, shared.value, size)
+        def run(batches, shared=shared, carry=carry, first=k == 0):
+            windows = shared.value
             for batch in batches:
                 n_words, spans, items_of = [], [], []
                 if not first:
