@@ -893,3 +893,72 @@ def q_last_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.plans import runs
 
     return runs.watermark(_run_log(shared_model(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- streaming plans over the stored events
+from tessera.streaming import streams as Z  # noqa: E402
+
+
+def _islands(key: str, where: str, gap: str, columns: str) -> str:
+    """Stretches of activity of a key that no silence of ``gap`` cuts."""
+    return O.with_(f"""
+SELECT {columns} FROM (
+  SELECT {key}, occurred_at, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY {key} ORDER BY occurred_at, source_id ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT {key}, occurred_at, source_id,
+               coalesce(occurred_at > lag(occurred_at) OVER (PARTITION BY {key} ORDER BY occurred_at, source_id) + INTERVAL {gap}, true) AS starts
+        FROM silver WHERE {where}))
+GROUP BY {key}, island""", "silver")
+
+
+@register("stream_daily_activity", O.with_(f"""
+SELECT CAST(timezone('UTC', timezone('{C.TIME_ZONE}', CAST(event_date AS TIMESTAMP))) AS TIMESTAMP) AS window_start,
+       CAST(timezone('UTC', timezone('{C.TIME_ZONE}', CAST(event_date + 1 AS TIMESTAMP))) AS TIMESTAMP) AS window_end,
+       CASE WHEN is_synthetic THEN 'synthetic' WHEN is_bot THEN 'bot' ELSE 'human' END AS traffic_type, count(*) AS events,
+       count(*) FILTER (event_type = 'piece_grabbed') AS moves, count(*) FILTER (event_type = 'piece_dropped' AND p_snapped) AS snaps
+FROM silver GROUP BY ALL""", "silver"))
+def q_stream_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, moves and snaps per local day and traffic class."""
+    return Z.activity(shared_model(spark, sf_dir).events)
+
+
+@register("stream_inactivity_sessions", _islands(
+    "client_id", "client_id IS NOT NULL", "6 HOUR",
+    "client_id, min(occurred_at) AS session_start, max(occurred_at) + INTERVAL 6 HOUR AS session_end, count(*) AS events, min(occurred_at) AS first_at, max(occurred_at) AS last_at",
+))
+def q_stream_inactivity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3: each player's activity, cut at silences of six hours."""
+    return Z.inactivity_sessions(shared_model(spark, sf_dir).events, "6 hours")
+
+
+@register("stream_room_expiries", _islands(
+    "room_slug", "room_slug IS NOT NULL AND room_type = 'private'", f"{C.ROOM_TTL_MS // 1000} SECOND",
+    f"room_slug, min(occurred_at) AS active_from, max(occurred_at) AS last_activity_at, max(occurred_at) + INTERVAL {C.ROOM_TTL_MS // 1000} SECOND AS expired_at, count(*) AS events",
+))
+def q_stream_room_expiries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3: each time a private room falls silent for the room's time to live."""
+    return Z.room_expiries(shared_model(spark, sf_dir).events)
+
+
+_HOLD_TIMES = (C.HOLD_TIMEOUT_MS, 12 * 3600 * 1000)
+
+
+def _hold_sql(ms: int) -> str:
+    return f"""
+SELECT event_id AS move_id, session_id, p_group_id AS group_id, occurred_at AS grabbed_at,
+       CASE WHEN outcome IN ('dropped', 'abandoned') THEN nxt_at END AS ended_at, outcome, CAST({ms} AS BIGINT) AS timeout_ms
+FROM (SELECT *, CASE WHEN nxt_at IS NULL OR nxt_at - occurred_at > INTERVAL {ms // 1000} SECOND THEN 'timeout'
+                     WHEN nxt_type = 'piece_dropped' AND nxt_group = p_group_id THEN 'dropped'
+                     WHEN nxt_type = 'piece_abandoned' AND nxt_group = p_group_id THEN 'abandoned' ELSE 'open' END AS outcome
+      FROM (SELECT *, lead(occurred_at) OVER w AS nxt_at, lead(event_type) OVER w AS nxt_type, lead(p_group_id) OVER w AS nxt_group FROM silver
+            WHERE event_type IN ('piece_grabbed', 'piece_dropped', 'piece_abandoned') AND session_id IS NOT NULL
+            WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at, source_id)))
+WHERE event_type = 'piece_grabbed'"""
+
+
+@register("stream_hold_outcomes", O.with_(" UNION ALL ".join(map(_hold_sql, _HOLD_TIMES)), "silver"))
+def q_stream_hold_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each grab within the hold timeout, and within half a day (sockets of the given events seldom act
+    twice in 30 seconds)."""
+    events = shared_model(spark, sf_dir).events
+    short, long = (Z.hold_outcomes(events, timeout_ms=ms).withColumn("timeout_ms", F.lit(ms).cast("long")) for ms in _HOLD_TIMES)
+    return short.unionByName(long)

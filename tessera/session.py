@@ -12,6 +12,7 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",  # a busy key's events meet before the shuffle
 }
 _JVM = "-Duser.timezone=UTC -Duser.language=en -Duser.country=US"
 

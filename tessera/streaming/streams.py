@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera import constants as C
 from tessera.functions import payload, traffic_type
@@ -83,67 +79,59 @@ def activity(events: DataFrame, every: str = "1 day", slide: str | None = None,
     )
 
 
+def _stretches(events: DataFrame, key: str, gap: str) -> DataFrame:
+    """Per key, activity that no silence of ``gap`` cuts: key, s (from the first event to ``gap`` after the last), events,
+    first_at, last_at. Events of one tumbling window of length ``gap`` are never cut apart, so a stored table is first reduced to
+    a row for each (key, window), map side, and a key that holds most of the log costs one row for each ``gap``. A stream has
+    its sessions merged before the shuffle instead (``session.settings``)."""
+    if events.isStreaming:
+        return events.groupBy(F.session_window("occurred_at", gap).alias("s"), key).agg(
+            F.count(F.lit(1)).alias("events"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
+    parts = events.groupBy(key, F.window("occurred_at", gap)).agg(
+        F.count(F.lit(1)).alias("events"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
+    lasts = F.unix_micros(F.col("last_at") + F.expr(f"INTERVAL {gap}")) - F.unix_micros("first_at")
+    return parts.groupBy(F.session_window("first_at", F.concat(lasts.cast("string"), F.lit(" microseconds"))).alias("s"), key).agg(
+        F.sum("events").alias("events"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
 def inactivity_sessions(events: DataFrame, gap: str = "24 hours", watermark: str | None = None) -> DataFrame:
-    """Z3: per player, activity separated by more than ``gap`` of silence (room expiry uses the same
-    shape per room)."""
-    return (
-        _watermarked(events.filter(F.col("client_id").isNotNull()), watermark)
-        .groupBy(F.session_window("occurred_at", gap).alias("s"), "client_id")
-        .agg(F.count(F.lit(1)).alias("events"), F.min("occurred_at").alias("first_at"),
-             F.max("occurred_at").alias("last_at"))
-        .select("client_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                "events", "first_at", "last_at")
-    )
+    """Z3: per player, activity separated by more than ``gap`` of silence."""
+    return _stretches(_watermarked(events.filter(F.col("client_id").isNotNull()), watermark), "client_id", gap).select(
+        "client_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events", "first_at", "last_at")
+
+
+def room_expiries(events: DataFrame, watermark: str | None = None, ttl_ms: int = C.ROOM_TTL_MS) -> DataFrame:
+    """Z3 for rooms: one row each time a private room has been silent for ``ttl_ms``, once the watermark has passed that moment.
+    A room that is used again afterwards expires again at its next silence. As a stream the state is one row for each room in use."""
+    used = _watermarked(events.filter(F.col("room_slug").isNotNull() & (F.col("room_type") == "private")), watermark)
+    return _stretches(used, "room_slug", f"{ttl_ms} milliseconds").select(
+        "room_slug", F.col("first_at").alias("active_from"), F.col("last_at").alias("last_activity_at"), F.col("s.end").alias("expired_at"), "events")
+
 
+def hold_outcomes(events: DataFrame, watermark: str | None = None, timeout_ms: int = C.HOLD_TIMEOUT_MS) -> DataFrame:
+    """Streaming W2 with a hold timeout in event time: what became of each grab within ``timeout_ms``. The socket's next move
+    event of that time closes the hold (``dropped``, ``abandoned``) or leaves it ``open``; without one it is a ``timeout``. This
+    is the batch pairing with answers later than the timeout left out, whatever the order and the batches of arrival.
 
-HOLD_OUTPUT = ("move_id string, session_id string, group_id int, grabbed_at timestamp, ended_at timestamp, "
-               "outcome string")
-HOLD_STATE = "move_id string, group_id int, grabbed_at timestamp, source_id long"
-
-
-def _pair_holds(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One socket: a grab waits in state until the next move event of the socket; a drop or abandon of
-    the same group closes it, anything else leaves it open. A grab nobody answers within the hold
-    timeout (event time) is emitted as ``timeout``."""
-    (session_id,) = key
-    out = []
-    if state.hasTimedOut:
-        move_id, group_id, grabbed_at, _ = state.get
-        out.append((move_id, session_id, group_id, grabbed_at, None, "timeout"))
-        state.remove()
-    else:
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values(["occurred_at", "source_id"], ignore_index=True)
-        if state.exists:  # the open grab of earlier batches goes first
-            move_id, group_id, grabbed_at, source_id = state.get
-            first = pd.DataFrame([{"event_id": move_id, "event_type": C.PIECE_GRABBED, "occurred_at": grabbed_at, "source_id": source_id, "group_id": group_id}])
-            pdf = pd.concat([first, pdf], ignore_index=True)
-        nxt = pdf.shift(-1)
-        grab = pdf["event_type"] == C.PIECE_GRABBED
-        last = grab & (pdf.index == len(pdf) - 1)  # not answered yet: it waits in state
-        closes = nxt["event_type"].isin(C.MOVE_CLOSERS) & (nxt["group_id"] == pdf["group_id"])
-        done = pdf[grab & ~last]
-        closed = closes[done.index]
-        outcome = nxt.loc[done.index, "event_type"].map({C.PIECE_DROPPED: "dropped", C.PIECE_ABANDONED: "abandoned"}).where(closed, "open")
-        out = list(zip(
-            done["event_id"], [session_id] * len(done), [None if pd.isna(g) else int(g) for g in done["group_id"]], done["occurred_at"],
-            [t if c else None for t, c in zip(nxt.loc[done.index, "occurred_at"], closed)], outcome,
-        ))
-        if last.any():
-            r = pdf.iloc[-1]
-            state.update((r["event_id"], None if pd.isna(r["group_id"]) else int(r["group_id"]), r["occurred_at"], int(r["source_id"])))
-            state.setTimeoutTimestamp(int(pd.Timestamp(r["occurred_at"]).timestamp() * 1000) + C.HOLD_TIMEOUT_MS)
-        elif state.exists:
-            state.remove()
-    yield pd.DataFrame(out, columns=["move_id", "session_id", "group_id", "grabbed_at", "ended_at", "outcome"])
-
-
-def hold_pairs(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Streaming W2 with a 30 s event-time hold timeout."""
+    A grab needs only the next ``timeout_ms``, so each event enters two windows of twice that length, begun ``timeout_ms`` apart,
+    and a window answers the grabs of its first half from its own sorted events. One aggregate by (window, socket) holds the
+    state: a busy socket is spread over its windows, no pairs of events are made and nothing leaves the JVM."""
     moves = _watermarked(
         events.filter(F.col("event_type").isin(*C.MOVE_EVENTS) & F.col("session_id").isNotNull())
         .select("event_id", "session_id", "event_type", "occurred_at", "source_id", payload("group_id", "int").alias("group_id")),
         watermark,
     )
-    return moves.groupBy("session_id").applyInPandasWithState(
-        _pair_holds, HOLD_OUTPUT, HOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    length = F.expr(f"INTERVAL {timeout_ms} MILLISECONDS")
+    line = F.sort_array(F.collect_list(F.struct("occurred_at", "source_id", "event_id", "event_type", "group_id")))
+    span = F.window("occurred_at", f"{2 * timeout_ms} milliseconds", f"{timeout_ms} milliseconds").alias("span")
+    lines = moves.groupBy(span, "session_id").agg(line.alias("line"))
+    turns = F.transform("line", lambda e, i: F.struct(e.alias("grab"), F.get("line", i + 1).alias("nxt")))
+    mine = F.filter(turns, lambda t: (t["grab"]["event_type"] == C.PIECE_GRABBED) & (t["grab"]["occurred_at"] < F.col("span.start") + length))
+    turn = lines.select("session_id", F.explode(mine).alias("t")).select("session_id", "t.grab", "t.nxt")
+    answered = F.coalesce(F.col("nxt.occurred_at") <= F.col("grab.occurred_at") + length, F.lit(False))
+    closed = answered & F.coalesce(F.col("nxt.event_type").isin(*C.MOVE_CLOSERS) & (F.col("nxt.group_id") == F.col("grab.group_id")), F.lit(False))
+    outcome = F.when(~answered, "timeout").when(~closed, "open").when(F.col("nxt.event_type") == C.PIECE_DROPPED, "dropped").otherwise("abandoned")
+    return turn.select(
+        F.col("grab.event_id").alias("move_id"), "session_id", F.col("grab.group_id").alias("group_id"), F.col("grab.occurred_at").alias("grabbed_at"),
+        F.when(closed, F.col("nxt.occurred_at")).alias("ended_at"), outcome.alias("outcome"),
     )
