@@ -15,7 +15,7 @@ text only. Scoring covers every row.
 
 Defined cases: null and empty texts have no words and get the score of the bias alone; rows with a null label count as
 unlabelled; without P or U texts all scores are the prior (0 without P); repeated rows are scored each for itself and
-drawn once.
+drawn once, an id with several texts with the least of their term sets (as bytes).
 """
 
 from __future__ import annotations
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("p"), pa.array([s.tobytes() for s in out], pa.binary())], names=[id_col, "p", "words"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    held = C.cut(drawn.mapInArrow(sets, f"`{id_col}` {id_type}, p boolean, words binary").dropDuplicates([id_col, "p"]))
+    # an id that stands with several texts is drawn once, with the same one of them in every run
+    held = C.cut(drawn.mapInArrow(sets, f"`{id_col}` {id_type}, p boolean, words binary").groupBy(id_col, "p").agg(F.min("words").alias("words")))
     vocabulary = _vocabulary(held, float(prior))
 
     def known(batches):

@@ -82,6 +82,71 @@ def test_non_negative_risk_recovers_hidden_positives():
     assert np.mean([score(s) >= 0.5 for s in u_good]) < 0.02
 
 
+def dense(sets, vocabulary):
+    return np.array([[float(v in s) for v in vocabulary] for s in map(set, (x.tolist() for x in sets))])
+
+
+def plain_risk(w, p, u, prior):
+    """(prior * R_P(+), R_U(-) - prior * R_P(-)) of a linear classifier, from the definition."""
+    loss = lambda z: np.log1p(np.exp(-z))
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+
+@pytest.mark.parametrize("prior, every", [(0.1, 4), (0.6, 8)])
+def test_training_follows_the_numeric_gradient_of_the_risk(prior, every):
+    """Weights after each number of steps equal Adam on finite differences of the risk, also where its bracket is negative."""
+    rng = np.random.default_rng(9)
+    draw = lambda low, high, k: np.unique(rng.choice(np.arange(low, high, dtype=np.uint64), k))
+    p, u = [draw(0, 6, 3) for _ in range(40)], [np.unique(np.append(draw(20, 30, 4), draw(0, 6, 1) if k % every == 0 else [])).astype(np.uint64) for k in range(80)]
+    in_p, in_u = [sum(t in set(x.tolist()) for x in p) for t in range(6)], [sum(t in set(x.tolist()) for x in u) for t in range(6)]
+    words = [t for t in range(6) if in_p[t] >= 3 and prior * (in_p[t] / 40) / ((in_u[t] + 1) / 80) >= toxicity.MIN_POSTERIOR]
+    assert words
+    dp, du = dense(p, words), dense(u, words)
+    w = np.append(np.zeros(len(words)), np.log(prior / (1 - prior)))
+    m, v, negative = np.zeros(len(w)), np.zeros(len(w)), 0
+    for step in range(1, 41):
+        bracket = plain_risk(w, dp, du, prior)[1]
+        negative += bracket < 0
+        goal = (lambda x: -plain_risk(x, dp, du, prior)[1]) if bracket < 0 else (lambda x: sum(plain_risk(x, dp, du, prior)))
+        g = np.array([(goal(w + e) - goal(w - e)) / 2e-5 for e in np.eye(len(w)) * 1e-5])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step in (1, 7, 40):
+            model = toxicity.train(p, u, prior, steps=step, rate=0.1, penalty=0.0, min_texts=3)
+            assert model.vocabulary.tolist() == words
+            assert np.allclose(np.append(model.weights, model.bias), w, atol=1e-4)
+    assert 0 < negative < 40  # steps of both kinds
+
+
+def test_counted_vocabulary_holds_what_training_chooses(spark):
+    """Spark's choice of terms is the definition's, with a margin of one in a hundred, and training on it alone gives the same model."""
+    rng = np.random.default_rng(3)
+    p = [np.unique(np.append(rng.choice(np.arange(50, 90, dtype=np.uint64), 6), rng.choice(np.arange(12, dtype=np.uint64), 3))) for _ in range(60)]
+    u = [np.unique(rng.choice(np.arange(90, dtype=np.uint64), 9)) for _ in range(300)] + [np.zeros(0, np.uint64)]
+    held = spark.createDataFrame([(mark, bytearray(s.tobytes())) for mark, sets in ((True, p), (False, u)) for s in sets], "p boolean, words binary")
+    prior = 0.5
+    got = toxicity._vocabulary(held, prior)
+    count = lambda sets, t: sum(t in set(s.tolist()) for s in sets)
+    want = [t for t in range(90) if count(p, t) >= toxicity.MIN_TEXTS and prior * (count(p, t) / len(p)) / ((count(u, t) + 1) / len(u)) >= 0.99 * toxicity.MIN_POSTERIOR]
+    assert got.tolist() == want and 0 < len(want) < 90
+    whole, part = (toxicity.train(*sets, prior) for sets in ((p, u), ([np.intersect1d(s, got) for s in p], [np.intersect1d(s, got) for s in u])))
+    assert whole.vocabulary.tolist() == part.vocabulary.tolist() and np.allclose(whole.weights, part.weights) and np.isclose(whole.bias, part.bias)
+    assert len(toxicity._vocabulary(held.where("p"), prior)) == 0
+
+
+def test_an_id_with_several_texts_is_drawn_the_same_way_in_every_run(spark):
+    rows = [(i, ("stupid idiot fool " if i % 4 == 0 else "kind words here ") + f"number {i}") for i in range(1, 200)]
+    twins = [(i, f"stupid idiot other text {i}") for i in range(1, 200, 3)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 200)], "doc_id bigint, toxic int")
+    models = [
+        toxicity.fit(spark.createDataFrame(part, "doc_id bigint, text string").repartition(n), labels)
+        for part, n in ((rows + twins, 2), (twins[::-1] + rows[::-1], 7))
+    ]
+    assert models[0].vocabulary.tolist() == models[1].vocabulary.tolist() and len(models[0].vocabulary)
+    assert np.allclose(models[0].weights, models[1].weights) and np.isclose(models[0].bias, models[1].bias)
+
+
 def test_terms_are_words_and_beginnings():
     data = np.frombuffer(b"Stupid stupidly x", np.uint8)
     hashes, rows = toxicity.terms(data, np.array([0, len(data)]))
