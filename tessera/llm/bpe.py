@@ -269,7 +269,7 @@ def routed(docs: DataFrame, text_col: str, average: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, route])
 
     schema = ", ".join([f"`{c}` {t}" for c, t in types.items()] + [f"`{route}` bigint"])
-    return docs.mapInArrow(run, schema).hint("rebalance", route).drop(route)
+    return docs.mapInArrow(C.lean(run), schema).hint("rebalance", route).drop(route)
 
 
 def encode(docs: DataFrame, tokenizer_file: str, id_cols: list[str], text_col: str = "text", average: int = AVERAGE_BYTES, with_ids: bool = True,
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, tokenizer_file: str, id_cols: list[str], text_col: s
                 yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, *names])
 
     schema = ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{n}` {t}" for n, t in zip(names, ["bigint", "string", "string", "array<int>"])])
-    return (routed(narrow, text_col, average) if route else narrow).mapInArrow(run, schema)
+    return (routed(narrow, text_col, average) if route else narrow).mapInArrow(C.lean(run), schema)
 
 
 def decode(rows: DataFrame, tokenizer_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

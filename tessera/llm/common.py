@@ -7,6 +7,7 @@ so that NumPy temporaries stay small whatever the batch holds; a longer row is a
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -118,9 +119,31 @@ def windows_in_rows(word_offsets: np.ndarray, n_windows: int, size: int) -> np.n
     return ok
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` for ``mapInArrow``; when a partition ends, its worker, which Spark keeps for later tasks and stages, gives back
+    what it has freed."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: StructType | str, fn: Callable) -> DataFrame:
     """``mapInArrow`` over the named columns only, so that the scan reads nothing else."""
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(lean(fn), schema)
 
 
 def ship(spark: SparkSession) -> None:

@@ -144,7 +144,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
                 cols = [batch.column(c) for c in carry] + [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items_of, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*carry, words, hit, seen])
 
-        state = state.mapInArrow(run, schema)
+        state = state.mapInArrow(C.lean(run), schema)
         if not last:
             state = C.cut(state)
     return state.withColumnsRenamed({words: "n_words", hit: "hits", seen: "items"}) if (words, hit, seen) == ("n_words", "hits", "items") else state

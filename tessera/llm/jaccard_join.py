@@ -111,7 +111,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     names=["id", "text_hash", "n_grams", "digest1", "digest2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, text_hash bigint, n_grams bigint, digest1 bigint, digest2 bigint, bands array<bigint>")
+    return docs.mapInArrow(C.lean(run), "id bigint, text_hash bigint, n_grams bigint, digest1 bigint, digest2 bigint, bands array<bigint>")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
@@ -240,7 +240,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(begin, end - begin) for c in ("component", "node", "size", "blocks")] + [pa.array(grams, pa.binary())],
                                                  names=["component", "node", "size", "blocks", "grams"])
 
-    gathered = texts.select("component", "node", "size", "blocks", "text").mapInArrow(sets, "component bigint, node bigint, size bigint, blocks int, grams binary")
+    gathered = texts.select("component", "node", "size", "blocks", "text").mapInArrow(C.lean(sets), "component bigint, node bigint, size bigint, blocks int, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = gathered.withColumn("block", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "grams",
@@ -253,7 +253,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["node", "linked", "root"])
 
-    compared = C.cut(dealt.mapInArrow(compare, "node bigint, linked bigint, root bigint"))
+    compared = C.cut(dealt.mapInArrow(C.lean(compare), "node bigint, linked bigint, root bigint"))
     groups = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = C.cut(groups.join(classes.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("group_id")))
     counted = compared.groupBy("node").agg(F.sum("linked").alias("linked")).join(groups, "node").join(named, "root")

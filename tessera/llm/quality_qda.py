@@ -151,7 +151,7 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             names=["y", "cell", "v"],
         )
 
-    got = train.mapInArrow(sums, "y int, cell int, v double").groupBy("y", "cell").agg(F.sum("v").alias("v")).collect()
+    got = train.mapInArrow(C.lean(sums), "y int, cell int, v double").groupBy("y", "cell").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros((2, 1 + d + d * d))
     for r in got:
         flat[r["y"], r["cell"]] = r["v"]
@@ -168,7 +168,7 @@ def score(rows: DataFrame, model: Model, out_col: str = "score") -> DataFrame:
             x = np.asarray(batch.column("features").flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in id_cols] + [pa.array(model.scores(x), pa.float64())], names=[*id_cols, out_col])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{out_col}` double"]))
+    return rows.mapInArrow(C.lean(run), ", ".join([f"`{c}` {types[c]}" for c in id_cols] + [f"`{out_col}` double"]))
 
 
 def keep_rows(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
